@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from newslab import constants as C
 from newslab.functions.dates import day
 
-BY_DAY = Window.partitionBy("ticker").orderBy("date")
-ALL_DAYS = BY_DAY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-SO_FAR = BY_DAY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_day(keys=("ticker",)):
+    return Window.partitionBy(*keys).orderBy("date")
+
+
+def all_days(keys=("ticker",)):
+    """Every row of the key; the same order as :func:`by_day`, so that one sort serves both."""
+    return by_day(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def daily_sentiment(headlines: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def prices_with_sentiment(prices: DataFrame, daily: DataFrame, how: str = "left"
         daily.select("ticker", "date", "daily_score", "articles"),
     )
     if lead_days is not None:
-        first = F.min(F.when(F.col("articles").isNotNull(), F.col("date"))).over(ALL_DAYS)
+        first = F.min(F.when(F.col("articles").isNotNull(), F.col("date"))).over(all_days())
         rows = rows.withColumn("_first", first).filter(
             F.col("date") >= F.date_sub("_first", lead_days)
         ).drop("_first")
@@ -84,7 +89,7 @@ def usable_tickers(frame: DataFrame, more_than: int = C.MIN_SENTIMENT_DAYS) -> D
     """Rows of tickers with enough days that carry sentiment after the fill; counted in the
     frame's own partitioning, without a join."""
     return (
-        frame.withColumn("_days", F.count("daily_score").over(ALL_DAYS))
+        frame.withColumn("_days", F.count("daily_score").over(all_days()))
         .filter(F.col("_days") > more_than)
         .drop("_days")
     )

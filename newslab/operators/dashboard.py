@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from newslab.functions.dates import lookback_start
 from newslab.functions.numbers import sign_class
-from newslab.operators.daily import ALL_DAYS, BY_DAY, dashboard_sentiment, merge_days
+from newslab.operators.daily import all_days, by_day, dashboard_sentiment, merge_days
 
 CARD_ROWS = 30
 LINE_ROWS = 7
@@ -17,18 +17,18 @@ def dashboard_series(headlines: DataFrame, prices: DataFrame, lookback: str = "a
     7-row mean line. ``total_articles`` counts all of the ticker's headlines, also those
     before the look-back."""
     rows = merge_days(prices.select("ticker", "date", "close"), dashboard_sentiment(headlines))
-    last = F.max(F.when(F.col("n_rows").isNotNull(), F.col("date"))).over(ALL_DAYS)
+    last = F.max(F.when(F.col("n_rows").isNotNull(), F.col("date"))).over(all_days())
     rows = rows.withColumns({
-        "_last": last, "total_articles": F.sum("n_rows").over(ALL_DAYS),
+        "_last": last, "total_articles": F.sum("n_rows").over(all_days()),
     })
     start = lookback_start(F.col("_last"), lookback)
     if start is not None:
         rows = rows.filter(F.col("date") >= start)
     rows = rows.filter(F.col("close").isNotNull()).dropna(subset=["sentiment"])
-    line = F.avg("sentiment").over(BY_DAY.rowsBetween(1 - LINE_ROWS, 0))
+    line = F.avg("sentiment").over(by_day().rowsBetween(1 - LINE_ROWS, 0))
     return rows.select(
         "ticker", "date", "close", "sentiment", "articles", "total_articles",
-        F.when(F.count("*").over(ALL_DAYS) >= LINE_ROWS, line).alias("sentiment_7d"),
+        F.when(F.count("*").over(all_days()) >= LINE_ROWS, line).alias("sentiment_7d"),
         sign_class(F.col("sentiment")).alias("bar"),
     )
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newslab.constants import HORIZONS
-from newslab.operators.daily import BY_DAY, merge_days
+from newslab.operators.daily import by_day, merge_days
 
 
 def _ahead(column: str, n: int) -> Column:
@@ -24,7 +24,7 @@ def price_forward_returns(prices: DataFrame, horizons=HORIZONS) -> DataFrame:
     close = F.col("close")
     return prices.select(
         *prices.columns,
-        *[_percent(F.lead("close", n).over(BY_DAY), close).alias(f"ret_{n}d") for n in horizons],
+        *[_percent(F.lead("close", n).over(by_day()), close).alias(f"ret_{n}d") for n in horizons],
     )
 
 

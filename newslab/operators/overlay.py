@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslab.constants import HORIZONS
+from newslab.operators.daily import by_day
 from newslab.operators.events import price_forward_returns
-from newslab.operators.strategy import TICKER, as_signal, by_day, uptrend
+from newslab.operators.strategy import TICKER, as_signal, uptrend
 
 
 def with_overlay(frame: DataFrame, score: float | Column, keys=TICKER) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
@@ -64,8 +65,6 @@ def score_text(df: DataFrame, model: Callable | None = None, text: str = "headli
 
 def _batched(load: Callable, result: str, batch: int = EMBED_BATCH) -> Callable:
     """An Arrow UDF that feeds a model with batches; rows of a failing batch are tried alone."""
-    import pandas as pd
-
     @F.pandas_udf(result)
     def infer(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()

@@ -60,15 +60,16 @@ def ranked(df: DataFrame, order: list[Column], top_n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= top_n)
 
 
-_NEWEST = [F.desc("date"), F.asc("headline")]
+def _newest() -> list[Column]:
+    return [F.desc("date"), F.asc("headline")]
 
 
 def rank_lexical(scored: DataFrame, top_n: int = C.TOP_N) -> DataFrame:
-    return ranked(scored, [F.desc("shared_count"), F.desc("jaccard"), *_NEWEST], top_n)
+    return ranked(scored, [F.desc("shared_count"), F.desc("jaccard"), *_newest()], top_n)
 
 
 def rank_semantic(scored: DataFrame, top_n: int = C.TOP_N) -> DataFrame:
-    return ranked(scored, [F.desc("similarity"), *_NEWEST], top_n)
+    return ranked(scored, [F.desc("similarity"), *_newest()], top_n)
 
 
 # --- shared words ------------------------------------------------------------
@@ -98,7 +99,7 @@ def search_one(headlines: DataFrame, ticker: str, headline: str | None = None,
     )
     return (
         score_overlap(rows, kw, min_shared)
-        .orderBy(F.desc("shared_count"), F.desc("jaccard"), *_NEWEST)
+        .orderBy(F.desc("shared_count"), F.desc("jaccard"), *_newest())
         .limit(top_n)
     )
 

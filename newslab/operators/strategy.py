@@ -12,16 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslab import constants as C
 from newslab.functions.numbers import net_return, sharpe, sizing_weight
-from newslab.operators.daily import BY_DAY, daily_sentiment, prices_with_sentiment
+from newslab.operators.daily import by_day, daily_sentiment, prices_with_sentiment
 
 ANNUAL = math.sqrt(C.TRADING_DAYS)
 TICKER = ("ticker",)
 
 
-def by_day(keys=TICKER):
-    return BY_DAY if tuple(keys) == TICKER else Window.partitionBy(*keys).orderBy("date")
-
-
 def _last_rows(n: int, keys=TICKER):
     return by_day(keys).rowsBetween(1 - n, 0)
 
@@ -40,12 +36,12 @@ def _full(value: Column, over, n: int, result: Column) -> Column:
 
 def fill_sentiment(rows: DataFrame, limit: int = C.FILL_ROWS) -> DataFrame:
     """Carry the last score over at most ``limit`` trading days; articles are not filled."""
-    window = BY_DAY.rowsBetween(-limit, 0)
+    window = by_day().rowsBetween(-limit, 0)
     return rows.withColumn("daily_score", F.last("daily_score", ignorenulls=True).over(window))
 
 
 def with_indicators(rows: DataFrame) -> DataFrame:
-    change = F.try_divide(F.col("close"), F.lag("close").over(BY_DAY)) - 1
+    change = F.try_divide(F.col("close"), F.lag("close").over(by_day())) - 1
     rows = fill_sentiment(rows).withColumn("returns", change)
     w20, w50 = _last_rows(20), _last_rows(50)
     returns, close = F.col("returns"), F.col("close")

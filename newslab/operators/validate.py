@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslab import constants as C
 from newslab.functions.numbers import net_return, sharpe, sizing_weight
-from newslab.operators.daily import BY_DAY, usable_tickers
+from newslab.operators.daily import by_day, usable_tickers
 from newslab.operators.strategy import strategy_frame, uptrend
 from newslab.sources.headlines import for_universe
 
@@ -93,8 +93,8 @@ def _position(inputs: str) -> Column:
 def variant_returns(frame: DataFrame, variants: list[Column]) -> DataFrame:
     lagged = frame.select(
         "ticker", "date", "returns",
-        F.lag(_signal_inputs(), 1).over(BY_DAY).alias("_day1"),
-        F.lag(_signal_inputs(), 2).over(BY_DAY).alias("_day2"),
+        F.lag(_signal_inputs(), 1).over(by_day()).alias("_day1"),
+        F.lag(_signal_inputs(), 2).over(by_day()).alias("_day2"),
     )
     rows = lagged.withColumn("variant", F.explode(F.array(*variants)))
     turnover = F.abs(_position("_day1") - _position("_day2"))

@@ -17,6 +17,7 @@ from newslab.operators.scoring import score_text
 from newslab.operators.search import check_queries, for_tickers, search
 from newslab.operators.skew import join_many_to_series
 from newslab.operators.strategy import apply_signal, metrics, run_backtest, strategy_frame
+from newslab.session import settle
 
 KEY = ("query_id", "ticker")
 
@@ -74,11 +75,12 @@ class SignalBacktest:
 def unified(queries: DataFrame, headlines: DataFrame, prices: DataFrame,
             **options) -> SignalBacktest:
     """The analysis, then trading the ticker whenever its sentiment is above the headline's
-    own score. Queries without a score have no backtest."""
+    own score. Queries without a score have no backtest. The scores are stored once, because
+    the join reads them several times and a model should not run again for each."""
     analysis = analyze(queries, headlines, prices, **options)
-    levels = analysis.queries.filter(
+    levels = settle(analysis.queries.filter(
         F.col("reject_reason").isNull() & F.col("live_score").isNotNull()
-    ).select(*KEY, "live_score")
+    ).select(*KEY, "live_score"))
     frame = with_price_returns(traded_frame(headlines, prices))
     rows = join_many_to_series(levels, frame, "ticker")
     level = F.col("live_score")

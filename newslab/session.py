@@ -18,6 +18,7 @@ def local_session(cores: str = "8", memory: str = "8g", **conf) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -46,8 +47,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute a table once and keep it in the shared folder, where a lost executor
-    cannot take it away; later readers start from the stored rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Compute a table once, store it in the shared folder and read it from there.
+
+    A lost executor cannot take the stored rows away, and Spark then knows the true size: a
+    join sends the table to every task only when its files are below the broadcast limit.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newslab.constants import NEWEST_CAP
 from newslab.operators.newest import newest_per_ticker
 from newslab.operators.scoring import embed_text
+from newslab.session import settle
 from newslab.sources.paths import exists
 
 
@@ -57,7 +58,7 @@ def stale_tickers(headlines: DataFrame, path: str, model: str) -> DataFrame:
 def refresh_embeddings(headlines: DataFrame, path: str, model: str,
                        loader: Callable | None = None, cap: int = NEWEST_CAP) -> DataFrame:
     """Embed the newest rows of stale tickers, store them, and return the stored table."""
-    stale = stale_tickers(headlines, path, model)
+    stale = settle(stale_tickers(headlines, path, model), "stale")
     rows = newest_per_ticker(headlines.join(stale, "ticker"), cap)
     embedded = embed_text(rows, loader).withColumn("model", F.lit(model))
     write_embeddings(embedded, path)
