@@ -7,7 +7,9 @@ from catalog.registry import query, tidy
 from catalog.relations import (
     AVGS, METRICS, RETS, VERDICT, VERDICT_PLAIN, all_returns, verdict_table,
 )
-from catalog.tables import AS_OF, LIST_HEADLINE, Tables
+from catalog.tables import AS_OF, TICKERS, Tables
+from newslab.functions import text
+from newslab.functions.vectors import norm
 from newslab.operators import overlay as O
 from newslab.operators import scoring
 from newslab.operators import search as S
@@ -137,24 +139,38 @@ def c13(t: Tables):
 
 
 @query("c14_compare", f"""
-    SELECT query_id, ticker, verdict, confidence, n_matches, {r(AVGS)}, {r8('avg_sentiment')},
+    SELECT query_id, ticker, verdict, confidence, n_matches, {r(AVGS)}, {r8('avg_sentiment live_score')},
            CASE WHEN avg_sentiment > 0.05 THEN 'positive' WHEN avg_sentiment < -0.05 THEN 'negative' ELSE 'flat' END AS sentiment_class,
-           round({polarity("'" + LIST_HEADLINE + "'")} - avg_sentiment, 8) + 0.0 AS score_delta
-    FROM listed_matches_v""")
+           round(live_score - avg_sentiment, 8) + 0.0 AS score_delta
+    FROM named_matches_v JOIN named USING (query_id, ticker)""")
 def c14(t: Tables):
-    asked = t.ticker_queries.groupBy("query_id", "headline").agg(
-        F.sort_array(F.collect_set("ticker")).alias("tickers")
-    )
-    result = A.compare(asked, F.col("tickers"), t.index, t.prices, method="lexical", as_of=AS_OF)
+    tickers = text.ticker_list(F.lit(TICKERS))
+    result = A.compare(t.named_queries, tickers, t.index, t.prices, method="lexical", as_of=AS_OF)
     return tidy(result.comparison, "query_id", "ticker", "verdict", "confidence", "n_matches",
-                "sentiment_class", r=AVGS, r8="avg_sentiment score_delta")
+                "sentiment_class", r=AVGS, r8="avg_sentiment live_score score_delta")
+
+
+def _unified(t: Tables) -> A.SignalBacktest:
+    asked = S.for_tickers(t.named_queries, text.ticker_list(F.lit(TICKERS)))
+    return A.unified(asked, t.index, t.prices, daily_source=t.raw, method="lexical", as_of=AS_OF)
+
 
+UNIFIED = "total_return max_drawdown sharpe exposure"
 
-@query("c15_unified_flow", f"SELECT ticker, n_trades, {r(METRICS)} FROM stats")
+
+@query("c15_unified_flow", f"SELECT query_id, ticker, n_trades, {r(UNIFIED)} FROM q_stats")
 def c15(t: Tables):
-    """The listed headline scores 0, so its backtest is the one at threshold 0."""
-    result = A.unified(t.ticker_queries, t.raw, t.prices, method="lexical", as_of=AS_OF)
-    return tidy(result.metrics, "ticker", "n_trades", r=METRICS)
+    return tidy(_unified(t).metrics, "query_id", "ticker", "n_trades", r=UNIFIED)
+
+
+@query("c15_unified_overlay", """
+    SELECT query_id, ticker, count(*) FILTER (WHERE is_entry) AS num_signals,
+           round(avg(ret_1d) FILTER (WHERE is_entry), 6) + 0.0 AS avg_1d,
+           round(avg(ret_5d) FILTER (WHERE is_entry), 6) + 0.0 AS avg_5d,
+           round(avg(ret_10d) FILTER (WHERE is_entry), 6) + 0.0 AS avg_10d
+    FROM q_entries GROUP BY query_id, ticker""")
+def c15_overlay(t: Tables):
+    return tidy(_unified(t).overlay_summary, "query_id", "ticker", "num_signals", r=AVGS)
 
 
 @query("c16_sharpe_at", f"SELECT ticker, threshold, {r('sharpe total_return')} FROM scores WHERE mode = 'threshold' AND threshold = 0.1")
@@ -301,8 +317,6 @@ def _by_value(load):
 @query("p2_embed_headlines", """
     SELECT ticker, headline, 256::BIGINT AS dim, 1.0::DOUBLE AS length FROM headline_index""")
 def p2(t: Tables):
-    from newslab.functions.vectors import norm
-
     rows = scoring.embed_text(t.index).withColumn("length", norm(F.col("embedding")))
     rows = rows.withColumn("dim", F.size("embedding").cast("long"))
     return tidy(rows, "ticker", "headline", "dim", r="length")

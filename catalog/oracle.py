@@ -154,33 +154,33 @@ CTES: dict[str, str] = {
     "listed": f"""
         SELECT 1::BIGINT AS query_id, ticker, '{LIST_HEADLINE}' AS headline,
                {kw("'" + LIST_HEADLINE + "'")} AS kws FROM universe""",
-    "query_pairs": """
-        SELECT q.query_id, h.ticker, h.headline, h.date, h.sentiment_score,
-               len(list_intersect(h.words, q.kws)) AS shared_count,
-               len(list_intersect(h.words, q.kws))::DOUBLE
-                 / greatest(len(list_distinct(h.words || q.kws)), 1) AS jaccard
-        FROM overlap h JOIN queries q ON q.ticker = h.ticker""",
-    "query_matches": """
-        SELECT * FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id, ticker
-                   ORDER BY shared_count DESC, jaccard DESC, date DESC, headline) AS rank
-          FROM query_pairs WHERE shared_count >= 2)
-        WHERE rank <= 20""",
-    "listed_pairs": """
-        SELECT q.query_id, h.ticker, h.headline, h.date, h.sentiment_score,
-               len(list_intersect(h.words, q.kws)) AS shared_count,
-               len(list_intersect(h.words, q.kws))::DOUBLE
-                 / greatest(len(list_distinct(h.words || q.kws)), 1) AS jaccard
-        FROM overlap h JOIN listed q ON q.ticker = h.ticker""",
-    "listed_matches": """
-        SELECT * FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id, ticker
-                   ORDER BY shared_count DESC, jaccard DESC, date DESC, headline) AS rank
-          FROM listed_pairs WHERE shared_count >= 2)
-        WHERE rank <= 20""",
+    # one headline per part name, worded up or down, for every ticker
+    "named": f"""
+        SELECT query_id, u.ticker, n.headline, {kw('n.headline')} AS kws, {polarity('n.headline')} AS live_score
+        FROM (SELECT min(p_partkey) AS query_id, 'Urgent: ' || p_name || CASE WHEN contains(p_name, 'red')
+                THEN ' profit gains but fear' ELSE ' beats on growth, weak loss, drop' END AS headline
+              FROM part GROUP BY p_name) n CROSS JOIN universe u""",
 }
 
 
+def match_ctes(matches: str, queries: str) -> dict[str, str]:
+    """The best 20 headlines of each query by shared words."""
+    return {
+        f"{matches}_all": f"""
+            SELECT q.query_id, h.ticker, h.headline, h.date, h.sentiment_score,
+                   len(list_intersect(h.words, q.kws)) AS shared_count,
+                   len(list_intersect(h.words, q.kws))::DOUBLE
+                     / greatest(len(list_distinct(h.words || q.kws)), 1) AS jaccard
+            FROM overlap h JOIN {queries} q ON q.ticker = h.ticker""",
+        matches: f"""
+            SELECT * FROM (
+              SELECT *, row_number() OVER (PARTITION BY query_id, ticker
+                       ORDER BY shared_count DESC, jaccard DESC, date DESC, headline) AS rank
+              FROM {matches}_all WHERE shared_count >= 2)
+            WHERE rank <= 20""",
+    }
+
+
 def verdict_ctes(matches: str, queries: str) -> dict[str, str]:
     """Weights, sums and verdict over a match table."""
     return {
@@ -226,9 +226,41 @@ def verdict_ctes(matches: str, queries: str) -> dict[str, str]:
     }
 
 
+for _matches, _queries in (("query_matches", "queries"), ("listed_matches", "listed"),
+                           ("named_matches", "named")):
+    CTES |= match_ctes(_matches, _queries) | verdict_ctes(_matches, _queries)
 CTES |= verdict_ctes("list_matches", "listed")
-CTES |= verdict_ctes("query_matches", "queries")
-CTES |= verdict_ctes("listed_matches", "listed")
+
+Q = "PARTITION BY query_id, ticker ORDER BY date"
+CTES |= {
+    # trading each ticker at each headline's own score
+    "q_sized": """
+        SELECT n.query_id, n.live_score, z.*, CASE WHEN z.smooth_sentiment > n.live_score AND z.close > z.sma_50
+                 THEN 1 ELSE 0 END AS q_signal
+        FROM named n JOIN sized z ON z.ticker = n.ticker""",
+    "q_held": f"SELECT *, coalesce(lag(q_signal * weight) OVER ({Q}), 0) AS q_position FROM q_sized",
+    "q_earned": f"""
+        SELECT *, q_position * returns - 0.0015 * abs(q_position - coalesce(lag(q_position) OVER ({Q}), 0)) AS sr,
+               q_signal = 1 AND lag(q_signal) OVER ({Q}) = 0 AS q_entry
+        FROM q_held""",
+    "q_curve": f"""
+        SELECT *, product(1 + coalesce(sr, 0)) OVER ({Q} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS growth
+        FROM q_earned""",
+    "q_dd": f"""
+        SELECT *, growth / max(growth) OVER ({Q} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS down
+        FROM q_curve""",
+    "q_stats": """
+        SELECT query_id, ticker, arg_max(growth, date) - 1 AS total_return, min(down) AS max_drawdown,
+               CASE WHEN stddev_samp(sr) > 0 THEN avg(sr) / stddev_samp(sr) * sqrt(252) END AS sharpe,
+               avg(CASE WHEN q_position > 0 THEN 1.0 ELSE 0.0 END) AS exposure,
+               count(*) FILTER (WHERE q_entry) AS n_trades
+        FROM q_dd GROUP BY query_id, ticker""",
+    "q_marked": f"""
+        SELECT z.query_id, z.ticker, z.date, n.ret_1d, n.ret_5d, n.ret_10d,
+               CASE WHEN z.smooth_sentiment >= z.live_score AND z.close > z.sma_50 THEN 1 ELSE 0 END AS mark
+        FROM q_sized z JOIN numbered n ON n.ticker = z.ticker AND n.base_date = z.date""",
+    "q_entries": f"SELECT *, mark = 1 AND coalesce(lag(mark) OVER ({Q}), 0) = 0 AS is_entry FROM q_marked",
+}
 
 CTES |= {
     # thresholds and components

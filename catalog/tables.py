@@ -12,6 +12,7 @@ from newslab.session import new_table_path
 
 AS_OF = "2001-12-31"
 TEST_KEYWORDS = ["urgent", "red", "widget", "blue"]
+TICKERS = "economy, Medium,LARGE,, standard,promo , SMALL"
 LIST_HEADLINE = "Urgent: the red widget and a blue widget recall"
 
 
@@ -79,6 +80,16 @@ class Tables:
             F.concat(F.lit("Urgent: "), "p_name", F.lit(" was NOT recalled")).alias("headline"),
         )
 
+    @cached_property
+    def named_queries(self) -> DataFrame:
+        """One query headline per part name, worded up or down."""
+        tone = F.when(F.col("p_name").contains("red"), " profit gains but fear").otherwise(
+            " beats on growth, weak loss, drop"
+        )
+        return self.read("part").groupBy("p_name").agg(
+            F.min("p_partkey").alias("query_id")
+        ).select("query_id", F.concat(F.lit("Urgent: "), "p_name", tone).alias("headline"))
+
     @cached_property
     def ticker_queries(self) -> DataFrame:
         """The same headline for every ticker."""

@@ -1,63 +1,76 @@
-"""The newest N headlines of every ticker, without sorting a ticker in one task."""
+"""The newest N headlines of every ticker, without moving or sorting a ticker's headlines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslab.constants import NEWEST_CAP
+from newslab.session import settle
 
 _SLICE = 4  # hex digits: 65,536 slices of one day's headlines
 
 
-def _cut(groups: DataFrame, keys: list[str], order, need) -> DataFrame:
-    """Groups with how many of their rows are wanted: all that fit into ``need``."""
+def _cut(groups: DataFrame, order: Column, need: Column) -> DataFrame:
+    """The group of each ticker in which its ``need``-th row falls, and how many rows are
+    wanted from that group."""
     running = (
-        Window.partitionBy(*keys).orderBy(order)
+        Window.partitionBy("ticker").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     before = F.sum("_n").over(running) - F.col("_n")
     return (
         groups.withColumn("_before", before)
-        .filter(F.col("_before") < need)
-        .withColumn("_want", F.least(F.col("_n"), need - F.col("_before")))
-        .withColumn("_whole", F.col("_want") == F.col("_n"))
+        .filter((F.col("_before") < need) & (F.col("_before") + F.col("_n") >= need))
+        .withColumn("_want", need - F.col("_before"))
     )
 
 
+def _slice_of(headline: Column) -> Column:
+    return F.substring(F.md5(headline), 1, _SLICE)
+
+
 def newest_per_ticker(headlines: DataFrame, cap: int = NEWEST_CAP) -> DataFrame:
     """Rows by date descending, equal dates by the md5 of the headline, first ``cap``.
 
-    Counts per day, added up from the newest, tell which days are wanted whole and on which
-    day a ticker's limit falls. That day is cut the same way into slices by md5, and only
-    the one slice on the limit is ranked row by row. No row set larger than a slice is ever
-    sorted for one ticker, and the headlines are never collected.
+    Only tickers above the cap need a cut. Their counts per day, added up from the newest,
+    give the day on which the limit falls; counts of that day's md5 slices give the slice. Both
+    are one row per ticker and are stored, so the headlines meet them in a join that moves no
+    headline while the cuts are small. Only rows of the one slice on the limit are ranked.
     """
     rows = headlines.filter(F.col("date").isNotNull())
-    days = _cut(
-        rows.groupBy("ticker", "date").agg(F.count("*").alias("_n")),
-        ["ticker"], F.col("date").desc(), F.lit(cap),
+    per_day = rows.groupBy("ticker", "date").agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy("ticker"))
+    crowded = per_day.withColumn("_total", total).filter(F.col("_total") > cap)
+    day_cuts = settle(
+        _cut(crowded, F.col("date").desc(), F.lit(cap)).select(
+            "ticker", F.col("date").alias("_cut_date"), F.col("_want").alias("_need")
+        ),
+        "day-cuts",
     )
-    columns = headlines.columns
-    whole_days = rows.join(
-        days.filter("_whole").select("ticker", "date"), ["ticker", "date"], "left_semi"
+    on_day = rows.join(day_cuts, "ticker").filter(F.col("date") == F.col("_cut_date"))
+    slices = on_day.groupBy(
+        "ticker", "_cut_date", "_need", _slice_of(F.col("headline")).alias("_cut_slice")
+    ).agg(F.count("*").alias("_n"))
+    cuts = settle(
+        _cut(slices, F.col("_cut_slice").asc(), F.col("_need")).select(
+            "ticker", "_cut_date", "_cut_slice", "_want"
+        ),
+        "slice-cuts",
     )
 
-    split_days = days.filter(~F.col("_whole")).select(
-        "ticker", "date", F.col("_want").alias("_need")
+    marked = rows.join(cuts, "ticker", "left").withColumn(
+        "_slice", F.when(F.col("date") == F.col("_cut_date"), _slice_of(F.col("headline")))
     )
-    on_limit = rows.join(split_days, ["ticker", "date"]).withColumn(
-        "_hash", F.md5("headline")
-    ).withColumn("_slice", F.substring("_hash", 1, _SLICE))
-    slices = _cut(
-        on_limit.groupBy("ticker", "date", "_need", "_slice").agg(F.count("*").alias("_n")),
-        ["ticker", "date"], F.col("_slice").asc(), F.col("_need"),
-    ).select("ticker", "date", "_slice", "_want")
-    rank = F.row_number().over(
-        Window.partitionBy("ticker", "date", "_slice").orderBy("_hash", "headline")
+    inside = marked.filter(
+        F.col("_cut_date").isNull()
+        | (F.col("date") > F.col("_cut_date"))
+        | (F.col("_slice") < F.col("_cut_slice"))
     )
-    part_of_day = (
-        on_limit.join(slices, ["ticker", "date", "_slice"])
-        .withColumn("_rank", rank)
+    order = Window.partitionBy("ticker").orderBy(F.md5("headline"), "headline")
+    on_limit = (
+        marked.filter(F.col("_slice") == F.col("_cut_slice"))
+        .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= F.col("_want"))
     )
-    return whole_days.select(*columns).unionByName(part_of_day.select(*columns))
+    columns = headlines.columns
+    return inside.select(*columns).unionByName(on_limit.select(*columns))

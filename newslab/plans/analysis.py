@@ -73,15 +73,16 @@ class SignalBacktest:
 
 
 def unified(queries: DataFrame, headlines: DataFrame, prices: DataFrame,
-            **options) -> SignalBacktest:
+            daily_source: DataFrame | None = None, **options) -> SignalBacktest:
     """The analysis, then trading the ticker whenever its sentiment is above the headline's
     own score. Queries without a score have no backtest. The scores are stored once, because
-    the join reads them several times and a model should not run again for each."""
+    the join reads them several times and a model should not run again for each. Daily
+    sentiment comes from ``daily_source`` where that differs from the searched table."""
     analysis = analyze(queries, headlines, prices, **options)
     levels = settle(analysis.queries.filter(
         F.col("reject_reason").isNull() & F.col("live_score").isNotNull()
     ).select(*KEY, "live_score"))
-    frame = with_price_returns(traded_frame(headlines, prices))
+    frame = with_price_returns(traded_frame(headlines if daily_source is None else daily_source, prices))
     rows = join_many_to_series(levels, frame, "ticker")
     level = F.col("live_score")
     backtest = run_backtest(apply_signal(rows, level), KEY)
