@@ -15,6 +15,11 @@ def stored_words(headline: Column) -> Column:
     return F.split(F.lower(headline), "[^a-z0-9]+")
 
 
+def word_array(words: list[str]) -> Column:
+    """A constant array of words without spaces."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -25,8 +30,7 @@ def keywords(text: Column) -> Column:
     A set difference needs no lambda, so it folds to a constant for a literal query.
     """
     dropped = STOP_WORDS + list(string.ascii_lowercase + string.digits)
-    unwanted = F.array(*[F.lit(w) for w in dict.fromkeys(dropped)])
-    return F.array_except(tokens(text), unwanted)
+    return F.array_except(tokens(text), word_array(dropped))
 
 
 def shared_words(words: Column, kw: Column) -> Column:

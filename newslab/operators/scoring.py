@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newslab.constants import EMBED_BATCH
 from newslab.functions.numbers import polarity
-from newslab.functions.text import tokens
+from newslab.functions.text import tokens, word_array
 from newslab.functions.vectors import unit
 
 POSITIVE_WORDS = """
@@ -39,7 +39,7 @@ def word_polarity(text: Column, positive: list[str] = POSITIVE_WORDS,
                   negative: list[str] = NEGATIVE_WORDS) -> Column:
     """(positive - negative) / (positive + negative) words; 0 without either."""
     def hits(words: list[str]) -> Column:
-        listed = F.array(*[F.lit(w) for w in words])
+        listed = word_array(words)
         found = F.filter(tokens(text), lambda t: F.array_contains(listed, t))
         return F.size(found).cast("double")
 

@@ -75,8 +75,10 @@ def rank_semantic(scored: DataFrame, top_n: int = C.TOP_N) -> DataFrame:
 # --- shared words ------------------------------------------------------------
 
 
-def score_overlap(rows: DataFrame, kw: Column, min_shared: int = C.MIN_SHARED) -> DataFrame:
-    words = text.stored_words(F.col("headline"))
+def score_overlap(rows: DataFrame, kw: Column, min_shared: int = C.MIN_SHARED,
+                  words: Column | None = None) -> DataFrame:
+    if words is None:
+        words = text.stored_words(F.col("headline"))
     return (
         rows.withColumn("shared_count", text.shared_count(words, kw))
         .filter(F.col("shared_count") >= min_shared)
@@ -134,19 +136,24 @@ def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_
     )
     probes = probes.withColumn("word", F.explode("probes"))
 
-    words = text.stored_words(F.col("headline"))
-    lookups = within(headlines, date_from, date_to).withColumn(
-        "word", F.explode(F.array_distinct(words))
+    # Words are split once per headline and carried. Outer explode and coalesce only keep
+    # Spark from adding checks for empty and missing arrays, which would split once more; a
+    # headline without words joins nothing.
+    words = F.coalesce(text.stored_words(F.col("headline")), F.array().cast("array<string>"))
+    lookups = (
+        within(headlines, date_from, date_to)
+        .withColumn("words", words)
+        .withColumn("word", F.explode_outer(F.array_distinct("words")))
     )
     pairs = lookups.join(probes, ["ticker", "word"]).filter(
-        F.col("word") == F.get(F.array_intersect("probes", words), F.lit(0))
+        F.col("word") == F.get(F.array_intersect("probes", "words"), F.lit(0))
     )
     if "date_from" in own_bounds:
         pairs = pairs.filter(F.col("date_from").isNull() | (F.col("date") >= F.col("date_from")))
     if "date_to" in own_bounds:
         pairs = pairs.filter(F.col("date_to").isNull() | (F.col("date") <= F.col("date_to")))
     return _match_rows(
-        rank_lexical(score_overlap(pairs, F.col("keywords"), min_shared), top_n)
+        rank_lexical(score_overlap(pairs, F.col("keywords"), min_shared, F.col("words")), top_n)
     )
 
 

@@ -24,7 +24,7 @@ KEY = ("query_id", "ticker")
 
 @dataclass(frozen=True)
 class Analysis:
-    """All parts are lazy; Spark computes what is read."""
+    """Matches are stored; the other parts are lazy."""
 
     queries: DataFrame      # with keywords, reject_reason and live_score
     matches: DataFrame
@@ -39,13 +39,17 @@ def analyze(queries: DataFrame, headlines: DataFrame, prices: DataFrame, method:
             scorer: Callable | None = None, top_n: int = C.TOP_N, date_from: DateLike = None,
             date_to: DateLike = None, as_of: DateLike = None, **search_options) -> Analysis:
     """Search, event study and verdict for a table ``(query_id, ticker, headline)``.
-    ``scorer`` and ``embed`` add ``live_score`` and ``embedding`` to the queries."""
+    ``scorer`` and ``embed`` add ``live_score`` and ``embedding`` to the queries.
+
+    The matches, at most ``top_n`` rows per query, are stored: the search over all headlines
+    runs once, and returns, verdicts and report read its result.
+    """
     checked = check_queries(queries, method)
     score = scorer or score_text
     scored = score(checked)
     usable = scored.filter(F.col("reject_reason").isNull())
-    matches = search(usable, headlines, method, corpus, embed, top_n, date_from, date_to,
-                     **search_options)
+    matches = settle(search(usable, headlines, method, corpus, embed, top_n, date_from, date_to,
+                            **search_options), "matches")
     returns = forward_returns(event_days(matches), prices)
     verdict = V.verdicts(matches, returns, usable, as_of)
     return Analysis(
@@ -82,7 +86,8 @@ def unified(queries: DataFrame, headlines: DataFrame, prices: DataFrame,
     levels = settle(analysis.queries.filter(
         F.col("reject_reason").isNull() & F.col("live_score").isNotNull()
     ).select(*KEY, "live_score"))
-    frame = with_price_returns(traded_frame(headlines if daily_source is None else daily_source, prices))
+    source = headlines if daily_source is None else daily_source
+    frame = with_price_returns(traded_frame(source, prices))
     rows = join_many_to_series(levels, frame, "ticker")
     level = F.col("live_score")
     backtest = run_backtest(apply_signal(rows, level), KEY)
