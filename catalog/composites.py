@@ -18,7 +18,7 @@ from newslab.operators import validate as V
 from newslab.plans import analysis as A
 from newslab.plans.dashboard import dashboard
 from newslab.plans.index import build_index
-from newslab.plans.validation import out_of_sample
+from newslab.plans.validation import out_of_sample, threshold_sweep
 from newslab.sources import embeddings as E
 
 MATCH = "query_id, ticker, rank, headline, date"
@@ -183,12 +183,8 @@ def c16(t: Tables):
     SELECT s.split, s.threshold, {r('s.mean_sharpe').replace('AS s.', 'AS ')}, s.threshold = b.threshold AS is_best
     FROM sweep s JOIN best b ON b.split = s.split""")
 def c17(t: Tables):
-    frame = V.universe_frames(t.raw, t.prices, t.universe)
-    sweep = V.mean_sharpe(V.variant_scores(frame, V.threshold_variants()),
-                          V.alternating_split(t.universe))
-    best = V.best_threshold(sweep).select("split", F.col("threshold").alias("pick"))
-    marked = sweep.join(best, "split").withColumn("is_best", F.col("threshold") == F.col("pick"))
-    return tidy(marked, "split", "threshold", "is_best", r="mean_sharpe")
+    sweep = threshold_sweep(t.raw, t.prices, t.universe)
+    return tidy(sweep, "split", "threshold", "is_best", r="mean_sharpe")
 
 
 @query("c18_component_modes", f"SELECT ticker, mode, {r('sharpe bh_sharpe')} FROM scores WHERE mode <> 'threshold'")

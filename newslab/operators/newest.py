@@ -31,6 +31,7 @@ def _slice_of(headline: Column) -> Column:
 
 def newest_per_ticker(headlines: DataFrame, cap: int = NEWEST_CAP) -> DataFrame:
     """Rows by date descending, equal dates by the md5 of the headline, first ``cap``.
+    Headlines must be deduplicated.
 
     Only tickers above the cap need a cut. Their counts per day, added up from the newest,
     give the day on which the limit falls; counts of that day's md5 slices give the slice. Both

@@ -78,11 +78,11 @@ def _batched(load: Callable, result: str, batch: int = EMBED_BATCH) -> Callable:
                 return [row for t in texts for row in run([t])]
 
         for chunk in chunks:
-            present = chunk.dropna()
-            done = []
-            for start in range(0, len(present), batch):
-                done += run(present.iloc[start:start + batch].tolist())
-            yield pd.Series(done, index=present.index, dtype=object).reindex(chunk.index)
+            texts = [t for t in chunk if t is not None]
+            done = iter([
+                row for start in range(0, len(texts), batch) for row in run(texts[start:start + batch])
+            ])
+            yield pd.Series([None if t is None else next(done) for t in chunk], dtype=object)
 
     return infer
 

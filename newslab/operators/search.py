@@ -15,6 +15,7 @@ from newslab import schemas
 from newslab.functions import text
 from newslab.functions.dates import DateLike, within
 from newslab.operators.newest import newest_per_ticker
+from newslab.session import settle
 
 log = logging.getLogger(__name__)
 
@@ -45,6 +46,14 @@ def check_queries(queries: DataFrame, method: str = "auto") -> DataFrame:
     )
 
 
+def of_asked_tickers(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Only rows of tickers that some query asks for. The ticker names are stored first, so
+    Spark sees their size, sends them to every task while they are few, and skips the folders
+    of other tickers in a table laid out by ticker."""
+    tickers = settle(queries.select("ticker").distinct(), "tickers")
+    return rows.join(tickers, "ticker", "left_semi")
+
+
 def _match_rows(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(*[
@@ -141,7 +150,7 @@ def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_
     # headline without words joins nothing.
     words = F.coalesce(text.stored_words(F.col("headline")), F.array().cast("array<string>"))
     lookups = (
-        within(headlines, date_from, date_to)
+        within(of_asked_tickers(headlines, queries), date_from, date_to)
         .withColumn("words", words)
         .withColumn("word", F.explode_outer(F.array_distinct("words")))
     )
@@ -243,7 +252,9 @@ def semantic_search(corpus: DataFrame, queries: DataFrame, top_n: int = C.TOP_N,
                     cap: int | None = C.NEWEST_CAP) -> DataFrame:
     """``corpus``: headlines with unit ``embedding`` vectors; ``queries``: the same plus
     ``query_id``. The newest rows are taken before the date bounds apply."""
-    rows = corpus if cap is None else newest_per_ticker(corpus, cap)
+    rows = of_asked_tickers(corpus, queries)
+    if cap is not None:
+        rows = newest_per_ticker(rows, cap)
     pairs = similar_pairs(within(rows, date_from, date_to), queries, top_n, min_similarity)
     return _match_rows(rank_semantic(pairs, top_n))
 

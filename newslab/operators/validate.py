@@ -13,6 +13,7 @@ from newslab import constants as C
 from newslab.functions.numbers import net_return, sharpe, sizing_weight
 from newslab.operators.daily import by_day, usable_tickers
 from newslab.operators.strategy import strategy_frame, uptrend
+from newslab.session import settle
 from newslab.sources.headlines import for_universe
 
 BUY_AND_HOLD = "buyhold"
@@ -22,7 +23,10 @@ MODES = ("trend", "sentiment", "combined")
 def universe_frames(headlines: DataFrame, prices: DataFrame,
                     universe: list[str] | DataFrame | None = None,
                     min_days: int = C.MIN_SENTIMENT_DAYS) -> DataFrame:
-    """Strategy frames of the universe, without tickers that have too little sentiment."""
+    """Strategy frames of the universe, without tickers that have too little sentiment. A
+    universe given as a table is stored first, so that Spark joins it by its true size."""
+    if isinstance(universe, DataFrame):
+        universe = settle(universe.select("ticker").distinct(), "universe")
     if universe is not None:
         headlines = for_universe(headlines, universe)
         prices = for_universe(prices, universe)
@@ -133,16 +137,20 @@ def mean_sharpe(scores: DataFrame, split: DataFrame) -> DataFrame:
     )
 
 
+def mark_best(sweep: DataFrame) -> DataFrame:
+    """Flag the threshold with the highest mean of each split; the lowest of equals."""
+    value = F.coalesce("mean_sharpe", F.lit(C.UNSCORED))
+    order = Window.partitionBy("split").orderBy(value.desc(), F.asc("threshold"))
+    return sweep.withColumn("is_best", F.row_number().over(order) == 1)
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
-    """The threshold with the highest mean; the lowest of equals."""
+    """The best threshold of each split, as one arg-max aggregate."""
     value = F.coalesce("mean_sharpe", F.lit(C.UNSCORED))
     return sweep.groupBy("split").agg(
-        F.max_by("threshold", F.struct(value, -F.col("threshold"))).alias("threshold"),
-        F.max(value).alias("_value"),
-    ).select(
-        "split", "threshold",
-        F.when(F.col("_value") != C.UNSCORED, F.col("_value")).alias("mean_sharpe"),
-    )
+        F.max_by(F.struct("threshold", "mean_sharpe"), F.struct(value, -F.col("threshold")))
+        .alias("best")
+    ).select("split", "best.threshold", "best.mean_sharpe")
 
 
 def decomposition(scores: DataFrame) -> DataFrame:

@@ -11,6 +11,14 @@ from newslab.operators import validate as V
 from newslab.session import settle
 
 
+def threshold_sweep(headlines: DataFrame, prices: DataFrame, universe: DataFrame,
+                    thresholds=C.THRESHOLDS, min_days: int = C.MIN_SENTIMENT_DAYS) -> DataFrame:
+    """Mean Sharpe ratio per split and threshold, the best of each split flagged, in one job."""
+    frame = V.universe_frames(headlines, prices, universe, min_days)
+    scores = V.variant_scores(frame, V.threshold_variants(thresholds))
+    return V.mark_best(V.mean_sharpe(scores, V.alternating_split(universe)))
+
+
 @dataclass(frozen=True)
 class Validation:
     scores: DataFrame          # per ticker and variant
@@ -31,8 +39,10 @@ def out_of_sample(headlines: DataFrame, prices: DataFrame, universe: DataFrame,
     Thresholds and components are scored in one job. The scores, a dozen rows per ticker, are
     stored once (``stored``) and every table of the report reads them.
     """
+    universe = settle(universe.select("ticker").distinct(), "universe")
     frame = V.universe_frames(headlines, prices, universe, min_days)
-    scores = V.variant_scores(frame, V.threshold_variants(thresholds) + V.mode_variants())
+    variants = V.threshold_variants(thresholds) + V.mode_variants()
+    scores = V.variant_scores(frame, variants)
     if stored:
         scores = settle(scores)
     split = V.alternating_split(universe)
