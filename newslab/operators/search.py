@@ -81,13 +81,42 @@ def rank_semantic(scored: DataFrame, top_n: int = C.TOP_N) -> DataFrame:
     return ranked(scored, [F.desc("similarity"), *_newest()], top_n)
 
 
+# --- blocks ----------------------------------------------------------------------
+
+
+def blocks(df: DataFrame, rows_per_block: int) -> DataFrame:
+    """Rows of one ticker side by side: every other column becomes an array, and an
+    ``embedding`` a matrix in ``vectors``. Blocks form inside each task, without a shuffle."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema if f.name != "ticker"}
+    has_vector = types.pop("embedding", None) is not None
+    names = list(types)
+    schema = ", ".join(
+        ["ticker string"] + [f"{c} array<{t}>" for c, t in types.items()]
+        + (["dim int", "vectors binary"] if has_vector else [])
+    )
+
+    def pack(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for ticker, part in batch.groupby("ticker", sort=False):
+                for start in range(0, len(part), rows_per_block):
+                    cut = part.iloc[start:start + rows_per_block]
+                    row = {"ticker": ticker, **{c: cut[c].tolist() for c in names}}
+                    if has_vector:
+                        matrix = np.stack(cut["embedding"].to_numpy()).astype(np.float32)
+                        row |= {"dim": matrix.shape[1], "vectors": matrix.tobytes()}
+                    yield pd.DataFrame([row])
+
+    return df.mapInPandas(pack, schema)
+
+
 # --- shared words ------------------------------------------------------------
 
 
-def score_overlap(rows: DataFrame, kw: Column, min_shared: int = C.MIN_SHARED,
-                  words: Column | None = None) -> DataFrame:
-    if words is None:
-        words = text.stored_words(F.col("headline"))
+def score_overlap(rows: DataFrame, kw: Column, min_shared: int = C.MIN_SHARED) -> DataFrame:
+    words = text.stored_words(F.col("headline"))
     return (
         rows.withColumn("shared_count", text.shared_count(words, kw))
         .filter(F.col("shared_count") >= min_shared)
@@ -115,86 +144,109 @@ def search_one(headlines: DataFrame, ticker: str, headline: str | None = None,
     )
 
 
-def probe_words(kw: Column, min_shared: int) -> Column:
-    """All but the ``min_shared - 1`` shortest keywords. A headline that shares
-    ``min_shared`` keywords must share one of these, so the short and usually most common
-    ones need not be looked up."""
-    by_length = F.sort_array(
-        F.transform(kw, lambda k: F.struct((-F.length(k)).alias("size"), k.alias("word")))
-    )
-    kept = F.slice(by_length, 1, F.greatest(F.size(kw) - (min_shared - 1), F.lit(0)))
-    return F.transform(kept, lambda s: s["word"])
+_TEXTS_PER_BLOCK = 10_000
+_KEYWORDS_PER_BLOCK = 256  # queries
+_NO_DAY = -(1 << 21)       # stands for a missing date, before every other day
 
 
 def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_N,
                    date_from: DateLike = None, date_to: DateLike = None,
                    min_shared: int = C.MIN_SHARED) -> DataFrame:
-    """Many queries at once, by an equi-join of words on (ticker, word).
+    """Many queries at once; the queries may carry their own ``date_from`` and ``date_to``.
 
-    A pair is kept only at its first common probe word, so no later deduplication (and no
-    shuffle for one) is needed. Spark sends the query words to every task when their size is
-    below its broadcast limit; otherwise it shuffles both sides and splits hot words.
-    The queries may carry their own ``date_from`` and ``date_to``.
+    Headlines and queries of a ticker meet as blocks, as in :func:`similar_pairs`. Per pair of
+    blocks, shared words are counted word by word for all its headlines and queries together,
+    and only matches that can be among a query's best ``top_n`` leave the task.
     """
-    if "keywords" not in queries.columns:
-        queries = queries.withColumn("keywords", text.keywords(F.col("headline")))
-    own_bounds = [c for c in ("date_from", "date_to") if c in queries.columns]
-    probes = queries.select(
-        "query_id", "ticker", "keywords", *own_bounds,
-        probe_words(F.col("keywords"), min_shared).alias("probes"),
+    own = F.array_distinct("keywords") if "keywords" in queries.columns else text.keywords(
+        F.col("headline"))
+
+    def bound(name: str, otherwise: int) -> Column:
+        if name not in queries.columns:
+            return F.lit(otherwise)
+        return F.coalesce(F.unix_date(name), F.lit(otherwise))
+
+    asked = blocks(
+        queries.select("ticker", "query_id", own.alias("keywords"),
+                       bound("date_from", _NO_DAY).alias("low"),
+                       bound("date_to", -_NO_DAY).alias("high")),
+        _KEYWORDS_PER_BLOCK,
     )
-    probes = probes.withColumn("word", F.explode("probes"))
-
-    # Words are split once per headline and carried. Outer explode and coalesce only keep
-    # Spark from adding checks for empty and missing arrays, which would split once more; a
-    # headline without words joins nothing.
-    words = F.coalesce(text.stored_words(F.col("headline")), F.array().cast("array<string>"))
-    lookups = (
+    words = F.array_distinct(text.stored_words(F.col("headline")))
+    stored = blocks(
         within(of_asked_tickers(headlines, queries), date_from, date_to)
-        .withColumn("words", words)
-        .withColumn("word", F.explode_outer(F.array_distinct("words")))
-    )
-    pairs = lookups.join(probes, ["ticker", "word"]).filter(
-        F.col("word") == F.get(F.array_intersect("probes", "words"), F.lit(0))
-    )
-    if "date_from" in own_bounds:
-        pairs = pairs.filter(F.col("date_from").isNull() | (F.col("date") >= F.col("date_from")))
-    if "date_to" in own_bounds:
-        pairs = pairs.filter(F.col("date_to").isNull() | (F.col("date") <= F.col("date_to")))
-    return _match_rows(
-        rank_lexical(score_overlap(pairs, F.col("keywords"), min_shared, F.col("words")), top_n)
+        .filter(F.col("headline").isNotNull())
+        .select("ticker", "headline", "sentiment_score", words.alias("words"),
+                F.coalesce(F.unix_date("date"), F.lit(_NO_DAY)).alias("day")),
+        _TEXTS_PER_BLOCK,
     )
+    schema = ("query_id long, ticker string, headline string, day int, sentiment_score double, "
+              "shared_count long, all_words long")
 
+    def count(batches):
+        import numpy as np
+        import pandas as pd
 
-# --- embedding cosine ----------------------------------------------------------
-
-_ROWS_PER_BLOCK = 2048
-_QUERIES_PER_BLOCK = 1024
+        def shared_counts(texts, kws):
+            """Words that each text shares with each keyword list, as a matrix."""
+            askers: dict[str, list[int]] = {}
+            for q, kw in enumerate(kws):
+                for word in kw:
+                    askers.setdefault(word, []).append(q)
+            holders: dict[str, list[int]] = {}
+            for r, row in enumerate(texts):
+                for word in row:
+                    if word in askers:
+                        holders.setdefault(word, []).append(r)
+            counts = np.zeros((len(texts), len(kws)), np.int32)
+            for word, rows in holders.items():
+                counts[np.asarray(rows)[:, None], askers[word]] += 1
+            return counts
 
+        for batch in batches:
+            for b in batch.itertuples(index=False):
+                counts = shared_counts(b.words, b.keywords)
+                days = np.asarray(b.day)
+                r, q = np.nonzero(counts >= min_shared)
+                inside = (days[r] >= np.asarray(b.low)[q]) & (days[r] <= np.asarray(b.high)[q])
+                r, q = r[inside], q[inside]
+                n = counts[r, q].astype(np.int64)
+                sizes = np.fromiter(map(len, b.words), np.int64, len(b.words))
+                asked_sizes = np.fromiter(map(len, b.keywords), np.int64, len(b.keywords))
+                union = sizes[r] + asked_sizes[q] - n
+                # at equal counts the smaller union has the larger ratio
+                order = np.lexsort((-days[r].astype(np.int64), union, -n, q))
+                r, q, n, union = r[order], q[order], n[order], union[order]
+                first = np.searchsorted(q, q)
+                last = np.minimum(first + top_n, np.searchsorted(q, q, side="right")) - 1
+                keys = np.stack([-n, union, -days[r].astype(np.int64)])
+                # rows that tie with the last place stay: the headline text decides later
+                keep = (np.arange(len(q)) <= last) | (keys == keys[:, last]).all(axis=0)
+                r, q, n, union = r[keep], q[keep], n[keep], union[keep]
+                yield pd.DataFrame({
+                    "query_id": np.asarray(b.query_id)[q],
+                    "ticker": b.ticker,
+                    "headline": np.asarray(b.headline, object)[r],
+                    "day": days[r],
+                    "sentiment_score": np.asarray(b.sentiment_score, float)[r],
+                    "shared_count": n,
+                    "all_words": union,
+                })
 
-def _blocks(df: DataFrame, ids: list[str], rows_per_block: int) -> DataFrame:
-    """Vectors of one ticker side by side in one row, formed inside each task."""
-    fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(
-        ["ticker string", "dim int", "vectors binary"] + [f"{c} array<{fields[c]}>" for c in ids]
+    found = stored.join(asked, "ticker").mapInPandas(count, schema)
+    scored = found.select(
+        "query_id", "ticker", "headline", "shared_count",
+        F.when(F.col("day") != _NO_DAY, F.date_from_unix_date("day")).alias("date"),
+        F.nanvl("sentiment_score", F.lit(None)).alias("sentiment_score"),
+        (F.col("shared_count") / F.col("all_words")).alias("jaccard"),
     )
+    return _match_rows(rank_lexical(scored, top_n))
 
-    def pack(batches):
-        import numpy as np
-        import pandas as pd
 
-        for batch in batches:
-            for ticker, part in batch.groupby("ticker", sort=False):
-                for start in range(0, len(part), rows_per_block):
-                    cut = part.iloc[start:start + rows_per_block]
-                    matrix = np.stack(cut["embedding"].to_numpy()).astype(np.float32)
-                    yield pd.DataFrame([{
-                        "ticker": ticker, "dim": matrix.shape[1], "vectors": matrix.tobytes(),
-                        **{c: cut[c].tolist() for c in ids},
-                    }])
+# --- embedding cosine ----------------------------------------------------------
 
-    rows = df.filter(F.col("embedding").isNotNull()).select("ticker", "embedding", *ids)
-    return rows.mapInPandas(pack, schema)
+_ROWS_PER_BLOCK = 2048
+_QUERIES_PER_BLOCK = 1024
 
 
 def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int,
@@ -207,10 +259,14 @@ def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int,
     blocks. Query blocks go to every task when Spark finds them small enough; otherwise blocks
     are shuffled, and a ticker with very many of them is split (adaptive skew join).
     """
-    stored = _blocks(corpus, ["headline", "date", "sentiment_score"], _ROWS_PER_BLOCK)
-    asked = _blocks(queries, ["query_id"], _QUERIES_PER_BLOCK).select(
-        "ticker", "dim", F.col("vectors").alias("query_vectors"), "query_id"
+    known = F.col("embedding").isNotNull()
+    stored = blocks(
+        corpus.filter(known).select("ticker", "headline", "date", "sentiment_score", "embedding"),
+        _ROWS_PER_BLOCK,
     )
+    asked = blocks(
+        queries.filter(known).select("ticker", "query_id", "embedding"), _QUERIES_PER_BLOCK
+    ).withColumnRenamed("vectors", "query_vectors")
     schema = ("query_id long, ticker string, headline string, date date, "
               "sentiment_score double, similarity double")
 
@@ -238,11 +294,7 @@ def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int,
                     "similarity": sims[q, r],
                 })
 
-    pairs = stored.join(asked, ["ticker", "dim"])
-    found = pairs.select(
-        "ticker", "dim", "vectors", "headline", "date", "sentiment_score",
-        "query_vectors", "query_id",
-    ).mapInPandas(best, schema)
+    found = stored.join(asked, ["ticker", "dim"]).mapInPandas(best, schema)
     return found.withColumn("sentiment_score", F.nanvl("sentiment_score", F.lit(None)))
 
 

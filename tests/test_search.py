@@ -54,8 +54,10 @@ def by_query(df):
 
 
 @pytest.mark.parametrize("limit", ["10MB", "-1"])
-def test_batch_search_is_exact(spark, headlines, queries, limit):
-    """Also with shuffled instead of broadcast query words."""
+def test_batch_search_is_exact(spark, headlines, queries, monkeypatch, limit):
+    """Also with shuffled instead of broadcast query blocks."""
+    monkeypatch.setattr(search, "_TEXTS_PER_BLOCK", 50)
+    monkeypatch.setattr(search, "_KEYWORDS_PER_BLOCK", 4)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     try:
