@@ -172,7 +172,8 @@ def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_
                        bound("date_to", -_NO_DAY).alias("high")),
         _KEYWORDS_PER_BLOCK,
     )
-    words = F.array_distinct(text.stored_words(F.col("headline")))
+    # distinct words travel as one string, which is far cheaper than an array of strings
+    words = F.array_join(F.array_distinct(text.stored_words(F.col("headline"))), " ")
     stored = blocks(
         within(of_asked_tickers(headlines, queries), date_from, date_to)
         .filter(F.col("headline").isNotNull())
@@ -205,13 +206,14 @@ def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_
 
         for batch in batches:
             for b in batch.itertuples(index=False):
-                counts = shared_counts(b.words, b.keywords)
+                texts = [words.split(" ") for words in b.words]
+                counts = shared_counts(texts, b.keywords)
                 days = np.asarray(b.day)
                 r, q = np.nonzero(counts >= min_shared)
                 inside = (days[r] >= np.asarray(b.low)[q]) & (days[r] <= np.asarray(b.high)[q])
                 r, q = r[inside], q[inside]
                 n = counts[r, q].astype(np.int64)
-                sizes = np.fromiter(map(len, b.words), np.int64, len(b.words))
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
                 asked_sizes = np.fromiter(map(len, b.keywords), np.int64, len(b.keywords))
                 union = sizes[r] + asked_sizes[q] - n
                 # at equal counts the smaller union has the larger ratio
