@@ -38,17 +38,18 @@ def newest_per_ticker(headlines: DataFrame, cap: int = NEWEST_CAP) -> DataFrame:
     are one row per ticker and are stored, so the headlines meet them in a join that moves no
     headline while the cuts are small. Only rows of the one slice on the limit are ranked.
     """
-    rows = headlines.filter(F.col("date").isNotNull())
-    per_day = rows.groupBy("ticker", "date").agg(F.count("*").alias("_n"))
+    # headlines without a date come after all others
+    rows = headlines.withColumn("_day", F.coalesce("date", F.lit("0001-01-01").cast("date")))
+    per_day = rows.groupBy("ticker", "_day").agg(F.count("*").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy("ticker"))
     crowded = per_day.withColumn("_total", total).filter(F.col("_total") > cap)
     day_cuts = settle(
-        _cut(crowded, F.col("date").desc(), F.lit(cap)).select(
-            "ticker", F.col("date").alias("_cut_date"), F.col("_want").alias("_need")
+        _cut(crowded, F.col("_day").desc(), F.lit(cap)).select(
+            "ticker", F.col("_day").alias("_cut_date"), F.col("_want").alias("_need")
         ),
         "day-cuts",
     )
-    on_day = rows.join(day_cuts, "ticker").filter(F.col("date") == F.col("_cut_date"))
+    on_day = rows.join(day_cuts, "ticker").filter(F.col("_day") == F.col("_cut_date"))
     slices = on_day.groupBy(
         "ticker", "_cut_date", "_need", _slice_of(F.col("headline")).alias("_cut_slice")
     ).agg(F.count("*").alias("_n"))
@@ -60,11 +61,11 @@ def newest_per_ticker(headlines: DataFrame, cap: int = NEWEST_CAP) -> DataFrame:
     )
 
     marked = rows.join(cuts, "ticker", "left").withColumn(
-        "_slice", F.when(F.col("date") == F.col("_cut_date"), _slice_of(F.col("headline")))
+        "_slice", F.when(F.col("_day") == F.col("_cut_date"), _slice_of(F.col("headline")))
     )
     inside = marked.filter(
         F.col("_cut_date").isNull()
-        | (F.col("date") > F.col("_cut_date"))
+        | (F.col("_day") > F.col("_cut_date"))
         | (F.col("_slice") < F.col("_cut_slice"))
     )
     order = Window.partitionBy("ticker").orderBy(F.md5("headline"), "headline")

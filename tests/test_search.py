@@ -94,6 +94,14 @@ def test_newest_equals_sorting(headlines):
         assert len(found) == len(want) and {(r["ticker"], r["headline"]) for r in found} == want
 
 
+def test_newest_keeps_headlines_without_a_date(spark):
+    rows = [("A", f"h{i}", START if i < 3 else None, 0.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "ticker string, headline string, date date, sentiment_score double")
+    assert newest.newest_per_ticker(df, 10).count() == 6
+    found = newest.newest_per_ticker(df, 4).collect()
+    assert len(found) == 4 and {r["headline"] for r in found} >= {"h0", "h1", "h2"}
+
+
 def test_newest_on_a_single_day(headlines):
     same_day = headlines[1].withColumn("date", F.lit(START))
     counts = newest.newest_per_ticker(same_day, 100).groupBy("ticker").count().collect()
