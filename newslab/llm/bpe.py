@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newslab.llm.memo import KEPT, LONG, ChunkedEncoder
+from newslab.llm.memo import KEPT, ChunkedEncoder, Memory
+
+#: Greater than any rank.
+NONE = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,13 +44,16 @@ class PrefixEncoder:
 
     def merged(self, piece: bytes) -> list[int]:
         """BPE by its definition: merge the neighbours of least rank, leftmost first, while any merge."""
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1),
-                       key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 40))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        parts, rank_of = [piece[i:i + 1] for i in range(len(piece))], self.ranks.get
+        pairs = [rank_of(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (least := min(pairs)) < NONE:
+            i = pairs.index(least)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank_of(parts[i - 1] + parts[i], NONE)
+            if i < len(pairs):
+                pairs[i] = rank_of(parts[i] + parts[i + 1], NONE)
         return [self.ranks[p] for p in parts]
 
     def goes(self, a: int, b: int) -> bool:
@@ -99,31 +106,27 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         self.encoder = PrefixEncoder(read_ranks(ranks_path))
         self.pattern = regex.compile(pattern)
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces = Memory(lambda piece: self.encoder.encode(piece.encode()))
         self.encode = ChunkedEncoder(self._text, spaced=True)
         size = max(self.encoder.tokens) + 1
         self.bytes_of = np.array([self.encoder.tokens.get(i, b"") for i in range(size)], object)
 
-    def _piece(self, piece: str) -> list[int]:
-        found = self._pieces.get(piece)
-        if found is None:
-            found = self.encoder.encode(piece.encode())
-            if len(piece) <= LONG:
-                if len(self._pieces) >= KEPT:
-                    self._pieces.clear()
-                self._pieces[piece] = found
-        return found
-
     def _text(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.pattern.findall(text):
-            out += self._piece(piece)
+            out += self._pieces[piece]
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.bytes_of[ids].tolist())
 
 
+@lru_cache(maxsize=2)
+def codec(ranks_path: str, pattern: str) -> Codec:
+    """A worker process keeps its codec, and what that remembers, from task to task."""
+    return Codec(ranks_path, pattern)
+
+
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str],
                       text: str = "text", outputs: bool = True) -> DataFrame:
     """Rows ``(row struct of the columns in keep, n_tokens, ids_sha256, decoded_sha256[, ids, decoded])``.
@@ -137,10 +140,10 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list
     names = ["row", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * outputs]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            back = [codec.decode(np.frombuffer(x, "<u4")) for x in ids]
+            ids = [own.encode(t) for t in batch.column(1).to_pylist()]
+            back = [own.decode(np.frombuffer(x, "<u4")) for x in ids]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                        pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]

@@ -3,26 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
-#: Chunks whose ids a worker keeps (some 250 bytes each); it starts anew beyond.
-KEPT = 300_000
+#: Chunks in one generation of a worker's memory (some 250 bytes each); it holds two generations.
+KEPT = 250_000
 #: Longer chunks are encoded each time.
 LONG = 64
+MARKS = frozenset(".,!?;:")
 
 
-class _Chunks(dict):
-    def __init__(self, encode: Callable[[str], bytes | None]):
-        super().__init__()
-        self.encode = encode
+class Memory(dict):
+    """Results of ``work`` by text. Once KEPT are held, they become the old generation, from which
+    those asked for again are taken over; the generation before is forgotten."""
 
-    def __missing__(self, chunk: str) -> bytes | None:
-        found = self.encode(chunk)
-        if len(chunk) <= LONG:
+    def __init__(self, work: Callable):
+        super().__init__()
+        self.work = work
+        self.old: dict = {}
+
+    def __missing__(self, text: str):
+        found = self.old.get(text)
+        if found is None:
+            found = self.work(text)
+        if len(text) <= LONG:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = found
+            self[text] = found
         return found
 
 
@@ -33,6 +42,7 @@ class ChunkedEncoder:
     reaches over a space from the left; so the text is cut before each space, and each chunk is
     encoded once per worker. Only white space before a space joins into one run: a chunk that
     is empty or ends in white space (and is followed by a space) sends its text to ``encode`` whole.
+    Letters and one mark after them are words of their own, so they are encoded apart.
     ``spaced``: whether a chunk is encoded with the space before it.
     """
 
@@ -44,10 +54,12 @@ class ChunkedEncoder:
         def later(chunk: str) -> bytes | None:
             if not chunk or chunk[-1].isspace():
                 return None
+            if chunk[-1] in MARKS and chunk[:-1].isalpha():
+                return self._later[chunk[:-1]] + self._first[chunk[-1]]
             return pack(encode(lead + chunk))
 
-        self._first = _Chunks(lambda chunk: None if chunk[-1:].isspace() else pack(encode(chunk)))
-        self._later = _Chunks(later)
+        self._first = Memory(lambda chunk: None if chunk[-1:].isspace() else pack(encode(chunk)))
+        self._later = Memory(later)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -60,8 +72,10 @@ class ChunkedEncoder:
             return self.whole(text)
 
 
+@lru_cache(maxsize=4)
 def library_encoder(path: str, spaced: bool) -> ChunkedEncoder:
-    """The ids of the tokenizers library, without special tokens; their strings are ordinary text."""
+    """The ids of the tokenizers library, without special tokens; their strings are ordinary text. A worker
+    process keeps its encoder, and what that remembers, from task to task."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
