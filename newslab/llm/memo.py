@@ -8,9 +8,13 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks in one generation of a worker's memory (some 250 bytes each); it holds two generations.
-KEPT = 250_000
+KEPT = 400_000
 #: Longer chunks are encoded each time.
 LONG = 64
+#: How byte-level vocabularies write a byte: as itself if it is a visible Latin-1 character, else as the
+#: next letter from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTER = [chr(b if b in _VISIBLE else 256 + b - sum(v < b for v in _VISIBLE)) for b in range(256)]
 MARKS = frozenset(".,!?;:")
 
 
@@ -43,10 +47,12 @@ class ChunkedEncoder:
     encoded once per worker. Only white space before a space joins into one run: a chunk that
     is empty or ends in white space (and is followed by a space) sends its text to ``encode`` whole.
     Letters and one mark after them are words of their own, so they are encoded apart.
-    ``spaced``: whether a chunk is encoded with the space before it.
+    ``spaced``: whether a chunk is encoded with the space before it. ``word``, if given, encodes a chunk of
+    Latin-1 letters alone, which needs no splitting.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], spaced: bool):
+    def __init__(self, encode: Callable[[str], list[int]], spaced: bool,
+                 word: Callable[[str], list[int]] | None = None):
         pack = lambda ids: np.array(ids, "<u4").tobytes()
         self.whole = lambda text: pack(encode(text))
         lead = " " if spaced else ""
@@ -56,6 +62,8 @@ class ChunkedEncoder:
                 return None
             if chunk[-1] in MARKS and chunk[:-1].isalpha():
                 return self._later[chunk[:-1]] + self._first[chunk[-1]]
+            if word is not None and chunk.isalpha() and max(chunk) < "\u0100":
+                return pack(word(lead + chunk))
             return pack(encode(lead + chunk))
 
         self._first = Memory(lambda chunk: None if chunk[-1:].isspace() else pack(encode(chunk)))
@@ -80,4 +88,11 @@ def library_encoder(path: str, spaced: bool) -> ChunkedEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkedEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, spaced)
+    model, lowers = tokenizer.model, tokenizer.normalizer is not None
+
+    def word(text: str) -> list[int]:
+        """The library's merges alone: what its normalizer and splitter do to letters is this one line."""
+        data = (text.lower() if lowers else text).encode()
+        return [t.id for t in model.tokenize("".join(map(BYTE_LETTER.__getitem__, data)))]
+
+    return ChunkedEncoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, spaced, word)
