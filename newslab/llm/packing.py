@@ -30,8 +30,8 @@ def balance(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int
 
     As many sequences as the tokens need are opened. Items go in descending cost to the sequence
     of lowest cost so far that has room. An item without room anywhere is cut: what is left of
-    it goes to the sequences of lowest cost that are not full, so only the free tokens of one
-    sequence in all stay empty. Equal costs: the earlier item and the lower sequence first.
+    it goes to the sequences of lowest cost that are not full, so in all less than ``capacity``
+    tokens stay free. Equal costs: the earlier item and the lower sequence first.
     """
     opened = -(-sum(lengths) // capacity)
     free = np.full(opened, capacity, np.int64)
@@ -63,8 +63,8 @@ def pack(docs: DataFrame, tokenizer_path: str, keep: list[str], end_id: int = 0,
 
     A document's ids are the tokenizer's and ``end_id``. Whole sequences' worth of a long document
     are sequences of their own; its rest is packed with those of the same task, ``window`` at
-    a time. So nothing is exchanged between tasks, a task holds ``window`` remainders, and at most one
-    sequence per window (of several thousand) is not full. A sequence id is the task's number
+    a time. So nothing is exchanged between tasks, a task holds ``window`` remainders, and less than
+    ``capacity`` tokens per window (of several thousand sequences) are padding. A sequence id is the task's number
     and a count in it: the same if a task is run again over the same rows. Sequences shorter
     than ``capacity`` are to be padded to it, unless their length is a power of two.
 
