@@ -46,8 +46,7 @@ def c3(t: Tables):
 
 @query("c4_semantic_search", f"SELECT {MATCH}, {r('similarity')}, {r8('sentiment_score')} FROM close_vectors")
 def c4(t: Tables):
-    found = S.semantic_search(t.vectors, t.vectors, top_n=5, date_from="2000-02-01",
-                              min_similarity=0.2, cap=40)
+    found = S.semantic_search(t.vectors, t.vectors, top_n=5, min_similarity=0.2)
     return tidy(found, *MATCH.split(", "), r="similarity", r8="sentiment_score")
 
 
@@ -57,7 +56,7 @@ def c4(t: Tables):
 def c5(t: Tables):
     """``auto`` takes vectors where it has them and words where it has none."""
     vectors = S.search(t.vectors, t.index, "auto", corpus=t.vectors, embed=lambda q: q, top_n=5,
-                       date_from="2000-02-01", min_similarity=0.2, cap=40)
+                       min_similarity=0.2)
     words = S.search(t.queries, t.index, "auto")
     columns = ["query_id", "ticker", "rank", "headline"]
     return vectors.select(F.lit("semantic").alias("method"), *columns).unionByName(
@@ -318,12 +317,12 @@ def p2(t: Tables):
     return tidy(rows, "ticker", "headline", "dim", r="length")
 
 
-@query("p3_refresh_embeddings", f"SELECT ticker, headline, date, {r8('sentiment_score')} FROM index_newest")
+@query("p3_refresh_embeddings", f"SELECT ticker, headline, date, {r8('sentiment_score')} FROM headline_index")
 def p3(t: Tables):
     """A first refresh embeds every ticker, a second finds nothing stale."""
     path = t.scratch("vectors")
-    index = t.index.withColumn("sentiment_score", F.round("sentiment_score", 8))
-    E.refresh_embeddings(index, path, "words", cap=700)
+    index = t.index
+    E.refresh_embeddings(index, path, "words")
     assert E.stale_tickers(index, path, "words").isEmpty()
-    return tidy(E.refresh_embeddings(index, path, "words", cap=700), "ticker", "headline", "date",
+    return tidy(E.refresh_embeddings(index, path, "words"), "ticker", "headline", "date",
                 r8="sentiment_score")

@@ -128,7 +128,7 @@ CTES: dict[str, str] = {
     "based": """
         SELECT e.ticker, e.date, min(n.base_date) AS base_date
         FROM event_dates e JOIN numbered n
-          ON n.ticker = e.ticker AND n.base_date >= e.date AND n.base_date < e.date + 400
+          ON n.ticker = e.ticker AND n.base_date >= e.date
         GROUP BY e.ticker, e.date""",
     "fwd": """
         SELECT b.ticker, b.date, b.base_date, n.ret_1d, n.ret_5d, n.ret_10d
@@ -324,7 +324,7 @@ CTES |= {
     # dashboard
     "dash_daily": """
         SELECT ticker, date, avg(sentiment_score) AS sentiment, count(sentiment_score) AS articles, count(*) AS n_rows
-        FROM headlines_raw WHERE date >= DATE '2000-01-01' GROUP BY ticker, date""",
+        FROM headlines_raw GROUP BY ticker, date""",
     "dash_last": "SELECT ticker, max(date) AS last_day, sum(n_rows)::BIGINT AS total_articles FROM dash_daily GROUP BY ticker",
     "dash_rows": """
         SELECT d.ticker, d.date, p.close, d.sentiment, d.articles, l.total_articles
@@ -342,15 +342,10 @@ CTES |= {
                DATE '2000-01-01' + (vec_id % 365)::INT AS date,
                (vec_id % 200) / 100.0 - 1 AS sentiment_score, embedding::DOUBLE[] AS v
         FROM embeddings""",
-    "newest": """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker
-            ORDER BY date DESC, md5(headline), headline) AS age FROM vectors)
-        WHERE age <= 40""",
     "cosines": """
         SELECT q.query_id, c.ticker, c.headline, c.date, c.sentiment_score,
                round(list_dot_product(c.v, q.v), 12) AS similarity
-        FROM newest c JOIN vectors q ON q.ticker = c.ticker
-        WHERE c.date >= DATE '2000-02-01'""",
+        FROM vectors c JOIN vectors q ON q.ticker = c.ticker""",
     "close_vectors": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ticker
             ORDER BY similarity DESC, date DESC, headline) AS rank

@@ -171,14 +171,16 @@ def f5(t: Tables):
       SELECT q.query_id, c.headline, list_dot_product(c.v, q.v) AS sim
       FROM vectors c JOIN vectors q ON q.ticker = c.ticker) WHERE sim >= 0.3""")
 def f6(t: Tables):
-    return S.similar_pairs(t.vectors, t.vectors, top_n=1_000_000, min_similarity=0.3).select(
+    return S.similar_pairs(t.vectors, t.vectors, top_n=None, min_similarity=0.3).select(
         "query_id", "headline"
     )
 
 
-@query("f7_date_floor", "SELECT ticker, date, articles, n_rows::BIGINT AS n_rows FROM dash_daily")
+@query("f7_date_floor", """
+    SELECT ticker, date, articles, n_rows::BIGINT AS n_rows FROM dash_daily
+    WHERE date >= DATE '2000-01-01'""")
 def f7(t: Tables):
-    return D.dashboard_sentiment(t.raw).select("ticker", "date", "articles", "n_rows")
+    return D.dashboard_sentiment(t.raw, C.DASHBOARD_FLOOR).select("ticker", "date", "articles", "n_rows")
 
 
 @query("f8_class_predicates", """

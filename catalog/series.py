@@ -111,8 +111,7 @@ def k1(t: Tables):
 
 @query("k2_semantic_topk", f"SELECT query_id, ticker, rank, headline, {r('similarity')} FROM close_vectors")
 def k2(t: Tables):
-    found = S.semantic_search(t.vectors, t.vectors, top_n=5, date_from="2000-02-01",
-                              min_similarity=0.2, cap=40)
+    found = S.semantic_search(t.vectors, t.vectors, top_n=5, min_similarity=0.2)
     return tidy(found, "query_id", "ticker", "rank", "headline", r="similarity")
 
 

@@ -21,12 +21,6 @@ says said new vs per via
 LOOKBACK_DAYS = {"1w": 7, "1m": 30, "3m": 90, "6m": 180, "1y": 365}
 LOOKBACK_MONTHS = {"all": None, "1y": 12, "6m": 6, "3m": 3, "1m": 1}
 
-UNIVERSE = """
-AAPL AMD AMZN BA BABA C CVX DIS GE GS
-INTC JPM KO META MRK MSFT NVDA ORCL PFE
-T TSLA V WFC WMT XOM
-""".split()
-
 THRESHOLDS = [-0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
 
 HORIZONS = (1, 5, 10)             # trading days

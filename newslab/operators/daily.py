@@ -24,10 +24,12 @@ def daily_sentiment(headlines: DataFrame) -> DataFrame:
     )
 
 
-def dashboard_sentiment(headlines: DataFrame) -> DataFrame:
-    """As above from the year 2000 on; ``articles`` counts scored headlines only and
+def dashboard_sentiment(headlines: DataFrame, since: str | None = None) -> DataFrame:
+    """As above, from ``since`` on if it is given; ``articles`` counts scored headlines only and
     ``n_rows`` all of them."""
-    recent = headlines.filter(day(F.col("date")) >= F.lit(C.DASHBOARD_FLOOR).cast("date"))
+    recent = headlines
+    if since is not None:
+        recent = headlines.filter(day(F.col("date")) >= F.lit(since).cast("date"))
     return recent.groupBy("ticker", day(F.col("date")).alias("date")).agg(
         F.avg("sentiment_score").alias("sentiment"),
         F.count("sentiment_score").alias("articles"),
@@ -40,20 +42,24 @@ def merge_days(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Both sides hold at most one row per ticker and calendar day. They are stacked and
     exchanged once by ticker; the grouping and every later window by ticker then reuse
-    that partitioning, where a join on both keys would need further exchanges.
+    that partitioning, where a join on both keys would need further exchanges. A second row of
+    one side for a ticker and day stops the job: there is no telling which one is meant.
     """
     columns = {f.name: f.dataType for s in (left.schema, right.schema) for f in s}
     values = [c for c in columns if c not in ("ticker", "date")]
 
-    def padded(df: DataFrame) -> DataFrame:
+    def padded(df: DataFrame, side: int) -> DataFrame:
         have = set(df.columns)
         return df.select(
-            "ticker", "date",
+            "ticker", "date", F.lit(side).alias("_side"),
             *[F.col(c) if c in have else F.lit(None).cast(columns[c]).alias(c) for c in values],
         )
 
-    stacked = padded(left).unionByName(padded(right)).repartition("ticker")
-    return stacked.groupBy("ticker", "date").agg(*[F.max(c).alias(c) for c in values])
+    stacked = padded(left, 0).unionByName(padded(right, 1)).repartition("ticker")
+    twice = (F.count("*") > 2) | ((F.count("*") == 2) & (F.min("_side") == F.max("_side")))
+    error = F.raise_error(F.lit("two rows of one table for one ticker and day"))
+    return stacked.groupBy("ticker", "date").agg(
+        *[F.when(twice, error).otherwise(F.max(c)).alias(c) for c in values])
 
 
 def prices_with_sentiment(prices: DataFrame, daily: DataFrame, how: str = "left",

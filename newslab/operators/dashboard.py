@@ -12,11 +12,12 @@ CARD_ROWS = 30
 LINE_ROWS = 7
 
 
-def dashboard_series(headlines: DataFrame, prices: DataFrame, lookback: str = "all") -> DataFrame:
+def dashboard_series(headlines: DataFrame, prices: DataFrame, lookback: str = "all",
+                     since: str | None = None) -> DataFrame:
     """Trading days with sentiment inside a look-back from the last sentiment day, and the
     7-row mean line. ``total_articles`` counts all of the ticker's headlines, also those
-    before the look-back."""
-    rows = merge_days(prices.select("ticker", "date", "close"), dashboard_sentiment(headlines))
+    before the look-back, from ``since`` on if it is given."""
+    rows = merge_days(prices.select("ticker", "date", "close"), dashboard_sentiment(headlines, since))
     last = F.max(F.when(F.col("n_rows").isNotNull(), F.col("date"))).over(all_days())
     rows = rows.withColumns({
         "_last": last, "total_articles": F.sum("n_rows").over(all_days()),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from newslab.constants import NEWEST_CAP
 from newslab.session import settle
 
 _SLICE = 4  # hex digits: 65,536 slices of one day's headlines
@@ -29,7 +28,7 @@ def _slice_of(headline: Column) -> Column:
     return F.substring(F.md5(headline), 1, _SLICE)
 
 
-def newest_per_ticker(headlines: DataFrame, cap: int = NEWEST_CAP) -> DataFrame:
+def newest_per_ticker(headlines: DataFrame, cap: int) -> DataFrame:
     """Rows by date descending, equal dates by the md5 of the headline, first ``cap``.
     Headlines must be deduplicated.
 

@@ -251,11 +251,11 @@ _ROWS_PER_BLOCK = 2048
 _QUERIES_PER_BLOCK = 1024
 
 
-def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int,
+def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int | None,
                   min_similarity: float) -> DataFrame:
     """Candidates of each query with their cosine: every headline of the query's ticker is
     compared, and only those at or above the floor that can still be among the query's
-    best ``top_n`` leave the task.
+    best ``top_n`` leave the task (None: all of them).
 
     Both sides are joined on ticker as blocks of vectors, one matrix product per pair of
     blocks. Query blocks go to every task when Spark finds them small enough; otherwise blocks
@@ -282,7 +282,7 @@ def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int,
                 right = np.frombuffer(row.vectors, np.float32).reshape(-1, row.dim)
                 sims = np.round(left.astype(np.float64) @ right.astype(np.float64).T, 12)
                 floor = np.full(len(left), min_similarity)
-                if right.shape[0] > top_n:
+                if top_n is not None and right.shape[0] > top_n:
                     # the top_n-th value; rows equal to it stay for the tie-break
                     kth = np.partition(sims, -top_n, axis=1)[:, -top_n]
                     floor = np.maximum(floor, kth)
@@ -303,9 +303,10 @@ def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int,
 def semantic_search(corpus: DataFrame, queries: DataFrame, top_n: int = C.TOP_N,
                     date_from: DateLike = None, date_to: DateLike = None,
                     min_similarity: float = C.MIN_SIMILARITY,
-                    cap: int | None = C.NEWEST_CAP) -> DataFrame:
+                    cap: int | None = None) -> DataFrame:
     """``corpus``: headlines with unit ``embedding`` vectors; ``queries``: the same plus
-    ``query_id``. The newest rows are taken before the date bounds apply."""
+    ``query_id``. All headlines are compared, unless ``cap`` asks for each ticker's newest rows
+    only; those are taken before the date bounds apply."""
     rows = of_asked_tickers(corpus, queries)
     if cap is not None:
         rows = newest_per_ticker(rows, cap)
@@ -333,9 +334,11 @@ def search(queries: DataFrame, headlines: DataFrame, method: str = "auto",
         try:
             if corpus is None or embed is None:
                 raise SemanticUnavailable("no embedded corpus or no embedder")
-            return semantic_search(corpus, embed(queries), **bounds, **options)
-        except Exception as error:
+            asked = embed(queries)
+        except (SemanticUnavailable, ImportError, OSError) as error:  # no model or no files of it
             if method == "semantic":
                 raise
             log.warning("semantic search unavailable (%s), using shared words", error)
+        else:
+            return semantic_search(corpus, asked, **bounds, **options)
     return lexical_search(headlines, queries, **bounds)

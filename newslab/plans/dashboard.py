@@ -8,6 +8,6 @@ from newslab.operators.dashboard import cards, dashboard_series
 
 
 def dashboard(headlines: DataFrame, prices: DataFrame,
-              lookback: str = "all") -> tuple[DataFrame, DataFrame]:
-    series = dashboard_series(headlines, prices, lookback)
+              lookback: str = "all", since: str | None = None) -> tuple[DataFrame, DataFrame]:
+    series = dashboard_series(headlines, prices, lookback, since)
     return series, cards(series)

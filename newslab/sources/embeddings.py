@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newslab.constants import NEWEST_CAP
 from newslab.operators.newest import newest_per_ticker
 from newslab.operators.scoring import embed_text
 from newslab.session import settle
@@ -19,8 +18,9 @@ from newslab.sources.paths import exists
 
 
 def source_versions(headlines: DataFrame) -> DataFrame:
-    """A fingerprint of each ticker's rows that changes whenever one of them does."""
-    row = F.xxhash64("headline", "date", "sentiment_score")
+    """A fingerprint of each ticker's rows that changes whenever one of them does. Scores count to
+    eight places: the last bits of a mean depend on the order in which it was added up."""
+    row = F.xxhash64("headline", "date", F.round("sentiment_score", 8))
     return headlines.groupBy("ticker").agg(
         F.concat_ws("-", F.count("*"), F.bit_xor(row), F.max("date")).alias("source_version")
     )
@@ -56,10 +56,14 @@ def stale_tickers(headlines: DataFrame, path: str, model: str) -> DataFrame:
 
 
 def refresh_embeddings(headlines: DataFrame, path: str, model: str,
-                       loader: Callable | None = None, cap: int = NEWEST_CAP) -> DataFrame:
-    """Embed the newest rows of stale tickers, store them, and return the stored table."""
+                       loader: Callable | None = None, cap: int | None = None) -> DataFrame:
+    """Embed the rows of stale tickers (all, or the newest ``cap`` of each), store them, and return
+    what is stored of the tickers that the source still has."""
     stale = settle(stale_tickers(headlines, path, model), "stale")
-    rows = newest_per_ticker(headlines.join(stale, "ticker"), cap)
+    rows = headlines.join(stale, "ticker")
+    if cap is not None:
+        rows = newest_per_ticker(rows, cap)
     embedded = embed_text(rows, loader).withColumn("model", F.lit(model))
     write_embeddings(embedded, path)
-    return read_embeddings(headlines.sparkSession, path, model)
+    present = headlines.select("ticker").distinct()
+    return read_embeddings(headlines.sparkSession, path, model).join(present, "ticker", "left_semi")
