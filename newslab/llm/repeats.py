@@ -16,8 +16,9 @@ from newslab.session import settle
 LENGTH = 400
 #: A window's sampled suffix starts at the least 8-byte string among its first so many places.
 REACH = 200
-#: Contexts of one suffix class that are compared in one task; a larger class goes by its windows.
-CLASS_ROWS = 2000
+#: Contexts of one suffix class that are compared at once in a task (some 200 MB with what is worked out
+#: from them); a larger class goes by its windows.
+CLASS_ROWS = 8000
 
 _MIX, _B1, _B2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _BYTE = np.random.default_rng(17).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
