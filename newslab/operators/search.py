@@ -19,8 +19,6 @@ from newslab.session import settle
 
 log = logging.getLogger(__name__)
 
-MATCH_COLUMNS = [f.name for f in schemas.MATCHES]
-
 # --- queries ---------------------------------------------------------------
 
 
@@ -83,33 +81,66 @@ def rank_semantic(scored: DataFrame, top_n: int = C.TOP_N) -> DataFrame:
 
 # --- blocks ----------------------------------------------------------------------
 
+_QUERIES_PER_PART = 4096
+_PARTS_IN_PLACE = 64
 
-def blocks(df: DataFrame, rows_per_block: int) -> DataFrame:
-    """Rows of one ticker side by side: every other column becomes an array, and an
-    ``embedding`` a matrix in ``vectors``. Blocks form inside each task, without a shuffle."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema if f.name != "ticker"}
-    has_vector = types.pop("embedding", None) is not None
-    names = list(types)
-    schema = ", ".join(
-        ["ticker string"] + [f"{c} array<{t}>" for c, t in types.items()]
-        + (["dim int", "vectors binary"] if has_vector else [])
-    )
+
+def part_count(queries: DataFrame) -> int:
+    """Tickers are dealt to so many parts; a part holds the queries of many small tickers."""
+    return max(1, -(-queries.count() // _QUERIES_PER_PART))
+
+
+def blocks(df: DataFrame, rows_per_block: int, parts: int = 1) -> DataFrame:
+    """Rows of one part of the tickers side by side, in ticker order, however few rows a ticker has.
+
+    A column becomes an array; of a column of arrays, ``<name>`` holds the flat values and ``<name>_n``
+    the length of each. Blocks form inside each task, without a shuffle, while a batch has
+    enough rows of each part; with more parts than that, rows are first brought together by part
+    and a hash of the row, so that no large ticker fills one task.
+    """
+    names = df.columns
+    nested = {f.name: f.dataType.elementType.simpleString() for f in df.schema
+              if f.dataType.typeName() == "array"}
+    schema = "part int, " + ", ".join(
+        f"{f.name} binary, {f.name}_n array<int>" if f.name in nested
+        else f"{f.name} array<{f.dataType.simpleString()}>" for f in df.schema)
+    rows = df.select(F.pmod(F.xxhash64("ticker"), F.lit(parts)).cast("int").alias("part"), *names)
+    if parts > _PARTS_IN_PLACE:
+        salt = F.pmod(F.xxhash64(*names), F.lit(16))
+        rows = rows.repartition("part", salt).sortWithinPartitions("part")
 
     def pack(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for ticker, part in batch.groupby("ticker", sort=False):
-                for start in range(0, len(part), rows_per_block):
-                    cut = part.iloc[start:start + rows_per_block]
-                    row = {"ticker": ticker, **{c: cut[c].tolist() for c in names}}
-                    if has_vector:
-                        matrix = np.stack(cut["embedding"].to_numpy()).astype(np.float32)
-                        row |= {"dim": matrix.shape[1], "vectors": matrix.tobytes()}
-                    yield pd.DataFrame([row])
-
-    return df.mapInPandas(pack, schema)
+            if not batch.num_rows:
+                continue
+            order = pc.sort_indices(batch, sort_keys=[("part", "ascending"), ("ticker", "ascending")])
+            table = pa.Table.from_batches([batch]).take(order).combine_chunks()
+            part = table["part"].to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                for start in range(first, last, rows_per_block):
+                    n = min(rows_per_block, last - start)
+                    columns = [pa.array([part[start]], pa.int32())]
+                    ends = pa.array([0, n], pa.int32())
+                    for name in names:
+                        cut = table[name].slice(start, n).combine_chunks()
+                        if isinstance(cut, pa.ChunkedArray):
+                            cut = cut.chunk(0)
+                        if name in nested:
+                            lengths = pc.fill_null(pc.list_value_length(cut), 0).cast(pa.int32())
+                            flat = cut.flatten().to_numpy(zero_copy_only=False)
+                            columns += [pa.array([flat.tobytes()], pa.binary()),
+                                        pa.ListArray.from_arrays(ends, lengths)]
+                        else:
+                            columns.append(pa.ListArray.from_arrays(ends, cut))
+                    yield pa.RecordBatch.from_arrays(
+                        columns, ["part", *(m for n_ in names for m in ([n_, f"{n_}_n"] if n_ in nested else [n_]))])
+
+    return rows.mapInArrow(pack, schema)
 
 
 # --- shared words ------------------------------------------------------------
@@ -145,8 +176,44 @@ def search_one(headlines: DataFrame, ticker: str, headline: str | None = None,
 
 
 _TEXTS_PER_BLOCK = 10_000
-_KEYWORDS_PER_BLOCK = 256  # queries
-_NO_DAY = -(1 << 21)       # stands for a missing date, before every other day
+_KEYWORDS_PER_BLOCK = 4096  # queries
+_NO_DAY = -(1 << 21)        # stands for a missing date, before every other day
+_PAIRS = 2_000_000          # equal words of texts and queries that are counted at once
+
+
+def _shared_counts(text_words, text_sizes, query_words, query_sizes, at_least: int):
+    """Yields arrays (text, query, count) of pairs that share ``at_least`` words, for whole texts at a time.
+    The words are numbers, and distinct within a text and within a query."""
+    import numpy as np
+
+    asked = len(query_sizes)
+    order = np.argsort(query_words, kind="stable")
+    known, askers = query_words[order], np.repeat(np.arange(asked), query_sizes)[order]
+    left = np.searchsorted(known, text_words, "left")
+    fan = np.searchsorted(known, text_words, "right") - left
+    hit = fan > 0
+    text, left, fan = np.repeat(np.arange(len(text_sizes)), text_sizes)[hit], left[hit], fan[hit]
+    ends = np.cumsum(fan)
+    start = 0
+    while start < len(text):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _PAIRS, "right"))
+        if stop < len(text):
+            stop = int(np.searchsorted(text, text[stop]))
+            stop = stop if stop > start else int(np.searchsorted(text, text[start], "right"))
+        some = fan[start:stop]
+        place = np.arange(some.sum()) + np.repeat(left[start:stop] - np.cumsum(some) + some, some)
+        base = int(text[start])
+        code = np.repeat(text[start:stop] - base, some) * asked + askers[place]
+        cells = (int(text[stop - 1]) - base + 1) * asked
+        if cells <= 4 * len(code):
+            counts = np.bincount(code, minlength=cells)
+            code = np.flatnonzero(counts >= at_least)
+            counts = counts[code]
+        else:
+            code, counts = np.unique(code, return_counts=True)
+            code, counts = code[counts >= at_least], counts[counts >= at_least]
+        yield code // asked + base, code % asked, counts
+        start = stop
 
 
 def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_N,
@@ -154,88 +221,83 @@ def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_
                    min_shared: int = C.MIN_SHARED) -> DataFrame:
     """Many queries at once; the queries may carry their own ``date_from`` and ``date_to``.
 
-    Headlines and queries of a ticker meet as blocks, as in :func:`similar_pairs`. Per pair of
-    blocks, shared words are counted word by word for all its headlines and queries together,
+    Headlines and queries meet as blocks of many tickers, as in :func:`similar_pairs`. Words travel as
+    64-bit hashes of ticker and word, made in the JVM, so rows of different tickers share none. Per pair
+    of blocks equal words are looked up and counted for all its headlines and queries together,
     and only matches that can be among a query's best ``top_n`` leave the task.
     """
+    queries = queries.withColumn("ticker", text.ticker_key(F.col("ticker")))
+    parts = part_count(queries)
     own = F.array_distinct("keywords") if "keywords" in queries.columns else text.keywords(
         F.col("headline"))
 
+    def numbers(words: Column) -> Column:
+        return F.transform(words, lambda w: F.xxhash64(F.col("ticker"), w))
+
     def bound(name: str, otherwise: int) -> Column:
         if name not in queries.columns:
             return F.lit(otherwise)
         return F.coalesce(F.unix_date(name), F.lit(otherwise))
 
     asked = blocks(
-        queries.select("ticker", "query_id", own.alias("keywords"),
-                       bound("date_from", _NO_DAY).alias("low"),
-                       bound("date_to", -_NO_DAY).alias("high")),
-        _KEYWORDS_PER_BLOCK,
-    )
-    # distinct words travel as one string, which is far cheaper than an array of strings
-    words = F.array_join(F.array_distinct(text.stored_words(F.col("headline"))), " ")
+        queries.filter(F.size(own) > 0).select(
+            "ticker", "query_id", numbers(own).alias("keywords"),
+            bound("date_from", _NO_DAY).alias("low"), bound("date_to", -_NO_DAY).alias("high")),
+        _KEYWORDS_PER_BLOCK, parts,
+    ).withColumnRenamed("ticker", "asked_ticker")
     stored = blocks(
         within(of_asked_tickers(headlines, queries), date_from, date_to)
         .filter(F.col("headline").isNotNull())
-        .select("ticker", "headline", "sentiment_score", words.alias("words"),
+        .select("ticker", "headline", "sentiment_score",
+                numbers(F.array_distinct(text.stored_words(F.col("headline")))).alias("words"),
                 F.coalesce(F.unix_date("date"), F.lit(_NO_DAY)).alias("day")),
-        _TEXTS_PER_BLOCK,
-    )
+        _TEXTS_PER_BLOCK, parts,
+    ).drop("ticker")
     schema = ("query_id long, ticker string, headline string, day int, sentiment_score double, "
               "shared_count long, all_words long")
 
     def count(batches):
         import numpy as np
-        import pandas as pd
-
-        def shared_counts(texts, kws):
-            """Words that each text shares with each keyword list, as a matrix."""
-            askers: dict[str, list[int]] = {}
-            for q, kw in enumerate(kws):
-                for word in kw:
-                    askers.setdefault(word, []).append(q)
-            holders: dict[str, list[int]] = {}
-            for r, row in enumerate(texts):
-                for word in row:
-                    if word in askers:
-                        holders.setdefault(word, []).append(r)
-            counts = np.zeros((len(texts), len(kws)), np.int32)
-            for word, rows in holders.items():
-                counts[np.asarray(rows)[:, None], askers[word]] += 1
-            return counts
+        import pyarrow as pa
+
+        def one(b):
+            sizes, asked_sizes = (b[c].values.to_numpy().astype(np.int64) for c in ("words_n", "keywords_n"))
+            words, keywords = (np.frombuffer(b[c].as_py(), np.int64) for c in ("words", "keywords"))
+            days, low, high = (b[c].values.to_numpy().astype(np.int64) for c in ("day", "low", "high"))
+            found = []
+            for r, q, n in _shared_counts(words, sizes, keywords, asked_sizes, min_shared):
+                inside = (days[r] >= low[q]) & (days[r] <= high[q])
+                found.append(best(*(x[inside] for x in (r, q, n)), days, sizes, asked_sizes))
+            if not found:
+                return None
+            r, q, n, union = best(*(np.concatenate(x) for x in list(zip(*found, strict=True))[:3]),
+                                  days, sizes, asked_sizes)
+            rows, asks = pa.array(r), pa.array(q)
+            return pa.RecordBatch.from_arrays(
+                [b["query_id"].values.take(asks).cast(pa.int64()), b["asked_ticker"].values.take(asks),
+                 b["headline"].values.take(rows), b["day"].values.take(rows),
+                 b["sentiment_score"].values.take(rows).cast(pa.float64()),
+                 pa.array(n.astype(np.int64)), pa.array(union)],
+                ["query_id", "ticker", "headline", "day", "sentiment_score", "shared_count", "all_words"])
+
+        def best(r, q, n, days, sizes, asked_sizes):
+            union = sizes[r] + asked_sizes[q] - n
+            # at equal counts the smaller union has the larger ratio
+            order = np.lexsort((-days[r], union, -n, q))
+            r, q, n, union = r[order], q[order], n[order], union[order]
+            last = np.minimum(np.searchsorted(q, q) + top_n, np.searchsorted(q, q, side="right")) - 1
+            keys = np.stack([-n, union, -days[r]])
+            # rows that tie with the last place stay: the headline text decides later
+            keep = (np.arange(len(q)) <= last) | (keys == keys[:, last]).all(axis=0)
+            return r[keep], q[keep], n[keep], union[keep]
 
         for batch in batches:
-            for b in batch.itertuples(index=False):
-                texts = [words.split(" ") for words in b.words]
-                counts = shared_counts(texts, b.keywords)
-                days = np.asarray(b.day)
-                r, q = np.nonzero(counts >= min_shared)
-                inside = (days[r] >= np.asarray(b.low)[q]) & (days[r] <= np.asarray(b.high)[q])
-                r, q = r[inside], q[inside]
-                n = counts[r, q].astype(np.int64)
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                asked_sizes = np.fromiter(map(len, b.keywords), np.int64, len(b.keywords))
-                union = sizes[r] + asked_sizes[q] - n
-                # at equal counts the smaller union has the larger ratio
-                order = np.lexsort((-days[r].astype(np.int64), union, -n, q))
-                r, q, n, union = r[order], q[order], n[order], union[order]
-                first = np.searchsorted(q, q)
-                last = np.minimum(first + top_n, np.searchsorted(q, q, side="right")) - 1
-                keys = np.stack([-n, union, -days[r].astype(np.int64)])
-                # rows that tie with the last place stay: the headline text decides later
-                keep = (np.arange(len(q)) <= last) | (keys == keys[:, last]).all(axis=0)
-                r, q, n, union = r[keep], q[keep], n[keep], union[keep]
-                yield pd.DataFrame({
-                    "query_id": np.asarray(b.query_id)[q],
-                    "ticker": b.ticker,
-                    "headline": np.asarray(b.headline, object)[r],
-                    "day": days[r],
-                    "sentiment_score": np.asarray(b.sentiment_score, float)[r],
-                    "shared_count": n,
-                    "all_words": union,
-                })
-
-    found = stored.join(asked, "ticker").mapInPandas(count, schema)
+            for i in range(batch.num_rows):
+                out = one({n: batch.column(n)[i] for n in batch.schema.names})
+                if out is not None:
+                    yield out
+
+    found = stored.join(asked, "part").mapInArrow(count, schema)
     scored = found.select(
         "query_id", "ticker", "headline", "shared_count",
         F.when(F.col("day") != _NO_DAY, F.date_from_unix_date("day")).alias("date"),
@@ -257,46 +319,71 @@ def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int | None,
     compared, and only those at or above the floor that can still be among the query's
     best ``top_n`` leave the task (None: all of them).
 
-    Both sides are joined on ticker as blocks of vectors, one matrix product per pair of
-    blocks. Query blocks go to every task when Spark finds them small enough; otherwise blocks
-    are shuffled, and a ticker with very many of them is split (adaptive skew join).
+    Both sides are joined as blocks of vectors of many tickers; within a pair of blocks, each ticker
+    is one matrix product. Query blocks go to every task when Spark finds them small enough; otherwise
+    blocks are shuffled, and a part with very many of them is split (adaptive skew join).
+    Vectors of different lengths in both tables are an error.
     """
+    parts = part_count(queries)
     known = F.col("embedding").isNotNull()
+    vector = F.col("embedding").cast("array<float>").alias("embedding")
     stored = blocks(
-        corpus.filter(known).select("ticker", "headline", "date", "sentiment_score", "embedding"),
-        _ROWS_PER_BLOCK,
+        corpus.filter(known).select("ticker", "headline", "date", "sentiment_score", vector),
+        _ROWS_PER_BLOCK, parts,
     )
-    asked = blocks(
-        queries.filter(known).select("ticker", "query_id", "embedding"), _QUERIES_PER_BLOCK
-    ).withColumnRenamed("vectors", "query_vectors")
+    asked = blocks(queries.filter(known).select("ticker", "query_id", vector), _QUERIES_PER_BLOCK, parts)
+    asked = asked.select("part", *[F.col(c).alias(f"asked_{c}") for c in asked.columns if c != "part"])
     schema = ("query_id long, ticker string, headline string, date date, "
               "sentiment_score double, similarity double")
 
     def best(batches):
         import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                left = np.frombuffer(row.query_vectors, np.float32).reshape(-1, row.dim)
-                right = np.frombuffer(row.vectors, np.float32).reshape(-1, row.dim)
-                sims = np.round(left.astype(np.float64) @ right.astype(np.float64).T, 12)
-                floor = np.full(len(left), min_similarity)
-                if top_n is not None and right.shape[0] > top_n:
+        import pyarrow as pa
+
+        def side(b, prefix):
+            """The vectors as a matrix, and the rows of each ticker."""
+            dims = set(b[f"{prefix}embedding_n"].values.to_pylist())
+            tickers = b[f"{prefix}ticker"].values.to_pylist()
+            cuts = [0, *(i for i in range(1, len(tickers)) if tickers[i] != tickers[i - 1]), len(tickers)]
+            flat = np.frombuffer(b[f"{prefix}embedding"].as_py(), np.float32)
+            return dims, flat, {tickers[a]: slice(a, z) for a, z in zip(cuts[:-1], cuts[1:], strict=True)}
+
+        def one(b):
+            dims, rows, own = side(b, "")
+            asked_dims, asks, asking = side(b, "asked_")
+            if len(dims | asked_dims) > 1:
+                raise ValueError(f"vectors of different lengths: {sorted(dims | asked_dims)}")
+            dim = dims.pop()
+            left, right = (x.reshape(-1, dim).astype(np.float64) for x in (asks, rows))
+            found = []
+            for ticker, at in own.items():
+                to = asking.get(ticker)
+                if to is None:
+                    continue
+                sims = np.round(left[to] @ right[at].T, 12)
+                floor = np.full(len(sims), min_similarity)
+                if top_n is not None and sims.shape[1] > top_n:
                     # the top_n-th value; rows equal to it stay for the tie-break
-                    kth = np.partition(sims, -top_n, axis=1)[:, -top_n]
-                    floor = np.maximum(floor, kth)
+                    floor = np.maximum(floor, np.partition(sims, -top_n, axis=1)[:, -top_n])
                 q, r = np.nonzero(sims >= floor[:, None])
-                yield pd.DataFrame({
-                    "query_id": np.asarray(row.query_id)[q],
-                    "ticker": row.ticker,
-                    "headline": np.asarray(row.headline, object)[r],
-                    "date": np.asarray(row.date, object)[r],
-                    "sentiment_score": np.asarray(row.sentiment_score, float)[r],
-                    "similarity": sims[q, r],
-                })
-
-    found = stored.join(asked, ["ticker", "dim"]).mapInPandas(best, schema)
+                found.append((q + to.start, r + at.start, sims[q, r]))
+            if not found:
+                return None
+            q, r, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+            rows, asks = pa.array(r), pa.array(q)
+            return pa.RecordBatch.from_arrays(
+                [b["asked_query_id"].values.take(asks).cast(pa.int64()), b["ticker"].values.take(rows),
+                 b["headline"].values.take(rows), b["date"].values.take(rows),
+                 b["sentiment_score"].values.take(rows).cast(pa.float64()), pa.array(sims)],
+                ["query_id", "ticker", "headline", "date", "sentiment_score", "similarity"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = one({n: batch.column(n)[i] for n in batch.schema.names})
+                if out is not None:
+                    yield out
+
+    found = stored.join(asked, "part").mapInArrow(best, schema)
     return found.withColumn("sentiment_score", F.nanvl("sentiment_score", F.lit(None)))
 
 
@@ -307,6 +394,7 @@ def semantic_search(corpus: DataFrame, queries: DataFrame, top_n: int = C.TOP_N,
     """``corpus``: headlines with unit ``embedding`` vectors; ``queries``: the same plus
     ``query_id``. All headlines are compared, unless ``cap`` asks for each ticker's newest rows
     only; those are taken before the date bounds apply."""
+    queries = queries.withColumn("ticker", text.ticker_key(F.col("ticker")))
     rows = of_asked_tickers(corpus, queries)
     if cap is not None:
         rows = newest_per_ticker(rows, cap)
