@@ -273,14 +273,24 @@ def p1(t: Tables):
     return tidy(scored, "doc_id", r="score")
 
 
-@query("p1_trained_scorer")
+@query("p1_trained_scorer", """
+    SELECT doc_id, true AS inside, coalesce(quality, -1)::BIGINT AS label, true AS apart
+    FROM documents LEFT JOIN labels USING (doc_id)""")
 def p1_trained(t: Tables):
-    """Trained on the labelled documents, applied to all of them."""
+    """Trained on the labelled documents, applied to all of them: each score lies in [-1, 1], and the mean score
+    of a label's documents lies on the label's side of zero (label -1: none)."""
     labelled = t.documents.join(t.read("labels"), "doc_id").select(
         "text", F.col("quality").alias("label")
     )
     scorer = scoring.fit_scorer(labelled)
-    return scoring.score_with(scorer, t.documents.select("doc_id", "text")).select("doc_id", "live_score")
+    scores = scoring.score_with(scorer, t.documents.select("doc_id", "text")).select("doc_id", "live_score")
+    known = scores.join(t.read("labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    means = known.groupBy("label").agg(F.avg("live_score").alias("mean")).filter(F.col("label").isNotNull())
+    return known.join(means, "label", "left").select(
+        "doc_id", F.col("live_score").between(-1, 1).alias("inside"),
+        F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label"),
+        F.coalesce((F.col("mean") > 0) == (F.col("label") == 1), F.lit(True)).alias("apart"),
+    )
 
 
 def letter_model():

@@ -121,11 +121,10 @@ def k3(t: Tables):
 
 
 @query("k4_date_order", f"""
-    SELECT date, round(daily_score, 8) + 0.0 AS daily_score, articles FROM daily
-    WHERE ticker = 'LARGE' ORDER BY date""")
+    SELECT ticker, date, round(daily_score, 8) + 0.0 AS daily_score, articles FROM daily ORDER BY ticker, date""")
 def k4(t: Tables):
-    rows = D.daily_sentiment(H.for_ticker(t.raw, "large")).orderBy("date")
-    return tidy(rows, "date", "articles", r8="daily_score")
+    rows = D.daily_sentiment(t.raw).orderBy("ticker", "date")
+    return tidy(rows, "ticker", "date", "articles", r8="daily_score")
 
 
 @query("k5_ticker_order", "SELECT ticker, headline, date FROM headline_index")
@@ -225,11 +224,12 @@ def x5(t: Tables):
 
 @query("x6_cosine", f"""
     SELECT query_id, round(list_dot_product(v, p), 6) + 0.0 AS similarity FROM (
-      SELECT query_id, v, lag(v) OVER (PARTITION BY ticker ORDER BY query_id) AS p FROM vectors)""")
+      SELECT query_id, v, first_value(v) OVER (PARTITION BY ticker ORDER BY query_id) AS p FROM vectors)""")
 def x6(t: Tables):
-    before = F.lag("embedding").over(Window.partitionBy("ticker").orderBy("query_id"))
-    rows = t.vectors.withColumn("before", before).withColumn(
-        "similarity", vectors.cosine_of_units(F.col("embedding"), F.col("before"))
+    """Each vector with its ticker's first one."""
+    first = t.vectors.groupBy("ticker").agg(F.min_by("embedding", "query_id").alias("first"))
+    rows = t.vectors.join(first, "ticker").withColumn(
+        "similarity", vectors.cosine_of_units(F.col("embedding"), F.col("first"))
     )
     return tidy(rows, "query_id", r="similarity")
 

@@ -63,8 +63,9 @@ def score_text(df: DataFrame, model: Callable | None = None, text: str = "headli
     )
 
 
-def _batched(load: Callable, result: str, batch: int = EMBED_BATCH) -> Callable:
-    """An Arrow UDF that feeds a model with batches; rows of a failing batch are tried alone."""
+def _batched(load: Callable, result: str, batch: int = EMBED_BATCH, lenient: bool = True) -> Callable:
+    """An Arrow UDF that feeds a model with batches. ``lenient``: rows of a failing batch are tried alone,
+    and a text that fails gets NULL; else a failure ends the job."""
     @F.pandas_udf(result)
     def infer(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
@@ -73,6 +74,8 @@ def _batched(load: Callable, result: str, batch: int = EMBED_BATCH) -> Callable:
             try:
                 return [list(map(float, row)) for row in model(texts)]
             except Exception:
+                if not lenient:
+                    raise
                 if len(texts) == 1:
                     return [None]
                 return [row for t in texts for row in run([t])]
@@ -110,9 +113,10 @@ def score_with(scorer: PipelineModel, df: DataFrame, output: str = "live_score")
 
 def embed_text(df: DataFrame, model: Callable | None = None, text: str = "headline",
                size: int = 256) -> DataFrame:
-    """Add a unit ``embedding``. Without a model: hashed word counts scaled to length 1."""
+    """Add a unit ``embedding``. Without a model: hashed word counts scaled to length 1. A model that fails
+    on a text is an error: a missing vector would look like a headline that nothing resembles."""
     if model is not None:
-        raw = _batched(model, "array<double>")
+        raw = _batched(model, "array<double>", lenient=False)
         return df.withColumn("_raw", raw(F.col(text))).withColumn(
             "embedding", unit(F.col("_raw")).cast("array<float>")
         ).drop("_raw")

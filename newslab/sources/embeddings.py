@@ -58,12 +58,13 @@ def stale_tickers(headlines: DataFrame, path: str, model: str) -> DataFrame:
 def refresh_embeddings(headlines: DataFrame, path: str, model: str,
                        loader: Callable | None = None, cap: int | None = None) -> DataFrame:
     """Embed the rows of stale tickers (all, or the newest ``cap`` of each), store them, and return
-    what is stored of the tickers that the source still has."""
+    what is stored of the tickers that the source still has. If the model fails, nothing is stored
+    and the tickers stay stale; rows without a vector (no headline) are not stored."""
     stale = settle(stale_tickers(headlines, path, model), "stale")
     rows = headlines.join(stale, "ticker")
     if cap is not None:
         rows = newest_per_ticker(rows, cap)
-    embedded = embed_text(rows, loader).withColumn("model", F.lit(model))
+    embedded = embed_text(rows, loader).filter(F.col("embedding").isNotNull()).withColumn("model", F.lit(model))
     write_embeddings(embedded, path)
     present = headlines.select("ticker").distinct()
     return read_embeddings(headlines.sparkSession, path, model).join(present, "ticker", "left_semi")

@@ -9,7 +9,7 @@ from newslab.constants import INDEX_ROW_GROUP
 from newslab.functions.dates import day
 from newslab.functions.text import ticker_key
 from newslab.operators.dedup import dedup_index
-from newslab.sources.paths import exists, require
+from newslab.sources.paths import complete, exists, require, swap
 
 
 def scan_headlines(spark: SparkSession, path: str, columns: dict[str, str] | None = None,
@@ -40,8 +40,8 @@ def for_universe(df: DataFrame, universe: list[str] | DataFrame) -> DataFrame:
 
 def load_headlines(spark: SparkSession, index_path: str, raw_path: str,
                    ticker: str | None = None) -> DataFrame:
-    """The index if it has been built, else the raw table deduplicated on the fly."""
-    if exists(spark, index_path):
+    """The index if it has been built to its end, else the raw table deduplicated on the fly."""
+    if complete(spark, index_path):
         found = scan_headlines(spark, index_path)
         return found if ticker is None else for_ticker(found, ticker)
     if not exists(spark, raw_path):
@@ -59,13 +59,18 @@ def cluster_by_ticker(df: DataFrame) -> DataFrame:
 
 def write_index(index: DataFrame, path: str, overwrite: bool = False) -> None:
     """One zstd parquet table in ticker order with bounded row groups. An index that is
-    already there is kept unless ``overwrite`` is set."""
-    if not overwrite and exists(index.sparkSession, path):
+    already there is kept unless ``overwrite`` is set; then the new one is written beside it and takes its
+    place when it is complete. What a failed build left is written over."""
+    spark = index.sparkSession
+    if not overwrite and complete(spark, path):
         raise FileExistsError(f"index already built: {path}")
+    beside = f"{path.rstrip('/')}.new" if exists(spark, path) else path
     (
         cluster_by_ticker(index)
-        .write.mode("overwrite" if overwrite else "errorifexists")
+        .write.mode("overwrite")
         .option("compression", "zstd")
         .option("parquet.block.row.count.limit", INDEX_ROW_GROUP)
-        .parquet(path)
+        .parquet(beside)
     )
+    if beside != path:
+        swap(spark, beside, path)
