@@ -269,7 +269,9 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     all_ = settle(long.select("h1", "h2", "text").mapInArrow(
         _sampled(length, reach), "h1 long, h2 long, place int, high smallint, low smallint, rank1 long, rank2 long, block long"),
         "suffixes")
-    twice = all_.groupBy("rank1", "rank2").agg(F.count("*").alias("n")).where("n > 1").select("rank1", "rank2")
+    # Written, so that the join's sides come straight from their exchanges and a hot pair's task can be split.
+    twice = settle(all_.groupBy("rank1", "rank2").agg(F.count("*").alias("n")).where("n > 1").select("rank1", "rank2"),
+                   "twice")
     live = settle(
         all_.join(twice, ["rank1", "rank2"], "left_semi")
         .withColumn("rank", F.xxhash64("rank1", "rank2"))
