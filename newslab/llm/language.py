@@ -20,6 +20,8 @@ PAIRS, TRIPLES = 1024, 2048
 TRAIN_ROWS = 3000
 #: A decision is ambiguous if the two best losses are closer than this.
 GAP = 0.05
+#: Bytes that are counted at once, so that a very long text needs no more memory than others.
+PIECE = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -27,20 +29,22 @@ _LOWER[65:91] += 32
 
 def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Unit vectors of square roots of n-gram counts, over the whole of each text."""
-    n, lengths = len(bounds) - 1, np.diff(bounds)
+    n = len(bounds) - 1
     out = np.zeros((n, PAIRS + TRIPLES), np.float32)
-    if n and len(data):
-        low = _LOWER[data].astype(np.uint32)
-        row = np.repeat(np.arange(n, dtype=np.int64), lengths)
+    for start in range(0, len(data) if n else 0, PIECE):
         for gram, size, at in ((2, PAIRS, 0), (3, TRIPLES, PAIRS)):
+            # A piece ends with the last n-gram that starts in it.
+            stop = min(len(data), start + PIECE + gram - 1)
+            low = _LOWER[data[start:stop]].astype(np.uint32)
             if len(low) < gram:
                 continue
+            row = np.repeat(np.arange(n, dtype=np.int64), np.diff(np.clip(bounds, start, stop)))
             code = low[:len(low) - gram + 1] * np.uint32(2654435761)
             for k in range(1, gram):
                 code = (code + low[k:len(low) - gram + 1 + k]) * np.uint32(2654435761)
             whole = row[:len(code)] == row[gram - 1:]
             cell = row[:len(code)] * size + (code >> np.uint32(32 - size.bit_length() + 1)).astype(np.int64)
-            out[:, at:at + size] = np.bincount(cell[whole], minlength=n * size).reshape(n, size)
+            out[:, at:at + size] += np.bincount(cell[whole], minlength=n * size).reshape(n, size)
     np.sqrt(out, out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 

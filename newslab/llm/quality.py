@@ -108,7 +108,8 @@ def laid_out(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lengths = np.diff(bounds)
     ends = np.concatenate([[0], np.cumsum((lengths + WIDTH - 1 + BLOCK - 1) // BLOCK)])
     flat = np.zeros(ends[-1] * BLOCK + WIDTH - 1, np.uint8)
-    flat[np.arange(len(data)) + np.repeat(ends[:-1] * BLOCK - bounds[:-1], lengths)] = data
+    for to, a, b in zip((ends[:-1] * BLOCK).tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        flat[to:to + b - a] = data[a:b]
     return flat, ends
 
 

@@ -289,3 +289,24 @@ def test_codewords_stay_apart():
     for n in (2, 4, 7, 20):
         code = language.codewords(n)
         assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= (1 if n == 2 else 2)
+
+
+def test_features_do_not_depend_on_the_piece(monkeypatch):
+    parts = [(t or "").encode() for t in TEXTS]
+    data, bounds = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+    whole = language.features(data, bounds)
+    one = np.concatenate([language.features(np.frombuffer(p, np.uint8), np.array([0, len(p)])) for p in parts])
+    assert np.allclose(whole, one)
+    for piece in (1, 7, 4096):
+        monkeypatch.setattr(language, "PIECE", piece)
+        some = slice(0, len(parts) if piece > 7 else 9)
+        got = language.features(data[:bounds[some.stop]], bounds[:some.stop + 1])
+        assert np.array_equal(got, whole[some])
+
+
+def test_blocks_hold_whole_texts():
+    parts = [(t or "").encode() for t in TEXTS]
+    bounds = np.cumsum([0, *map(len, parts)])
+    flat, ends = quality.laid_out(np.frombuffer(b"".join(parts), np.uint8), bounds)
+    for p, a, b in zip(parts, ends[:-1] * quality.BLOCK, ends[1:] * quality.BLOCK, strict=True):
+        assert bytes(flat[a:b]) == p + bytes(b - a - len(p)) and b - a - len(p) >= quality.WIDTH - 1
