@@ -329,13 +329,15 @@ CTES |= {
     "dash_rows": """
         SELECT d.ticker, d.date, p.close, d.sentiment, d.articles, l.total_articles
         FROM dash_daily d JOIN dash_last l ON l.ticker = d.ticker
-        JOIN prices p ON p.ticker = d.ticker AND p.date = d.date
-        WHERE d.date >= l.last_day - INTERVAL 6 MONTH""",
-    "dash": f"""
+        JOIN prices p ON p.ticker = d.ticker AND p.date = d.date""",
+    "dash_recent": """
+        SELECT r.* FROM dash_rows r JOIN dash_last l ON l.ticker = r.ticker
+        WHERE r.date >= l.last_day - INTERVAL 6 MONTH""",
+    **{name: f"""
         SELECT *, CASE WHEN count(*) OVER (PARTITION BY ticker) >= 7
                     THEN avg(sentiment) OVER ({W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS sentiment_7d,
                CASE WHEN sentiment > 0 THEN 'positive' WHEN sentiment < 0 THEN 'negative' ELSE 'flat' END AS bar
-        FROM dash_rows""",
+        FROM {rows}""" for name, rows in (("dash", "dash_recent"), ("dash_whole", "dash_rows"))},
     # vectors
     "vectors": """
         SELECT vec_id AS query_id, label::VARCHAR AS ticker, 'vec ' || vec_id AS headline,

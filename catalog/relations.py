@@ -275,10 +275,10 @@ def a24(t: Tables):
            round(avg(sentiment) FILTER (WHERE n <= 30), 8) + 0.0 AS avg_30,
            max(total_articles) AS total_articles, min(date) AS first_date, max(date) AS last_date,
            count(*) AS trading_days
-    FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM dash)
+    FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM dash_whole)
     GROUP BY ticker""")
 def a25(t: Tables):
-    return tidy(B.cards(B.dashboard_series(t.raw, t.prices, "6m")), "ticker", "total_articles",
+    return tidy(B.cards(B.dashboard_series(t.raw, t.prices)), "ticker", "total_articles",
                 "first_date", "last_date", "trading_days", r="last_close", r8="avg_30")
 
 

@@ -39,9 +39,9 @@ _backtest_columns("w8_turnover", "turnover", 8)
 _backtest_columns("w9_equity", "equity buyhold_equity", 4)
 
 
-@query("w5_seven_row_line", f"SELECT ticker, date, {r8('sentiment_7d')} FROM dash")
+@query("w5_seven_row_line", f"SELECT ticker, date, {r8('sentiment_7d')} FROM dash_whole")
 def w5(t: Tables):
-    return tidy(B.dashboard_series(t.raw, t.prices, "6m"), "ticker", "date", r8="sentiment_7d")
+    return tidy(B.dashboard_series(t.raw, t.prices), "ticker", "date", r8="sentiment_7d")
 
 
 @query("w10_drawdown", f"SELECT ticker, date, {r('drawdown bh_drawdown')} FROM dd")
@@ -81,10 +81,10 @@ def w15(t: Tables):
 
 @query("w16_last_rows_mean", """
     SELECT ticker, round(avg(sentiment), 8) + 0.0 AS avg_30 FROM (
-      SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM dash)
+      SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM dash_whole)
     WHERE n <= 30 GROUP BY ticker""")
 def w16(t: Tables):
-    return tidy(B.last_rows_mean(B.dashboard_series(t.raw, t.prices, "6m")), "ticker", r8="avg_30")
+    return tidy(B.last_rows_mean(B.dashboard_series(t.raw, t.prices)), "ticker", r8="avg_30")
 
 
 @query("w17_alternating_split", "SELECT ticker, split FROM split")

@@ -14,7 +14,7 @@ from newslab.operators.daily import usable_tickers
 from newslab.operators.events import event_days, forward_returns
 from newslab.operators.overlay import overlay_summary, with_overlay, with_price_returns
 from newslab.operators.scoring import score_text
-from newslab.operators.search import check_queries, for_tickers, search
+from newslab.operators.search import check_queries, for_tickers, of_asked_tickers, search
 from newslab.operators.skew import join_many_to_series
 from newslab.operators.strategy import apply_signal, metrics, run_backtest, strategy_frame
 from newslab.session import settle
@@ -80,14 +80,14 @@ def unified(queries: DataFrame, headlines: DataFrame, prices: DataFrame,
             daily_source: DataFrame | None = None, **options) -> SignalBacktest:
     """The analysis, then trading the ticker whenever its sentiment is above the headline's
     own score. Queries without a score have no backtest. The scores are stored once, because
-    the join reads them several times and a model should not run again for each. Daily
-    sentiment comes from ``daily_source`` where that differs from the searched table."""
+    the join reads them several times and a model should not run again for each. Only tickers
+    with a score get a frame. Daily sentiment comes from ``daily_source`` where that differs from the searched table."""
     analysis = analyze(queries, headlines, prices, **options)
     levels = settle(analysis.queries.filter(
         F.col("reject_reason").isNull() & F.col("live_score").isNotNull()
     ).select(*KEY, "live_score"))
     source = headlines if daily_source is None else daily_source
-    frame = with_price_returns(traded_frame(source, prices))
+    frame = with_price_returns(traded_frame(of_asked_tickers(source, levels), of_asked_tickers(prices, levels)))
     rows = join_many_to_series(levels, frame, "ticker")
     level = F.col("live_score")
     backtest = run_backtest(apply_signal(rows, level), KEY)
