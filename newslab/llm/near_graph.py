@@ -25,6 +25,8 @@ BEAM = 16
 SLACK = 0.05
 AUDIT_QUERIES, AUDIT_RECALL = 256, 0.97
 MOST_OVERLAP = 48
+#: Rows of a block and of a product tile of the exact comparison.
+BLOCK, TILE = 8192, 1024
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -283,6 +285,53 @@ def audit(rows: DataFrame, found: DataFrame, threshold: float, queries: int = AU
     return 1.0 if not all_ else hit / all_
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the least place known to be connected) after the links a - b."""
+    while True:
+        a_to, b_to = label[a], label[b]
+        apart = a_to != b_to
+        if not apart.any():
+            return label
+        a, b, a_to, b_to = a[apart], b[apart], a_to[apart], b_to[apart]
+        np.minimum.at(label, np.maximum(a_to, b_to), np.minimum(a_to, b_to))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def compared(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows ``(id, found, root)`` like those of ``_searched``, by comparing all pairs of unit rows.
+
+    Rows are dealt to blocks by a hash of their id; each pair of blocks meets in one task, by tiles. The work
+    is the square of the rows, the traffic rows times blocks. Only counts and one link per row leave a task.
+    """
+    blocks = math.ceil(rows.count() / BLOCK)
+    own = rows.select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int").alias("own"), "id", "copies", "v")
+    grid = (own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "copies", "v"))
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, copies, v = table["id"].to_numpy(), table["copies"].to_numpy(), unit(matrix(table["v"]))
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        left, right = (np.flatnonzero(table["own"].to_numpy() == x) for x in (low, high))
+        counted, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i in range(0, len(left), TILE):
+            for j in range(0, len(right), TILE):
+                a, b = left[i:i + TILE], right[j:j + TILE]
+                q, found = np.nonzero(v[a] @ v[b].T >= threshold)
+                q, found = a[q], b[found]
+                q, found = q[q != found], found[q != found]
+                counted += np.bincount(q, copies[found], len(ids)).astype(np.int64)
+                if low != high:
+                    counted += np.bincount(found, copies[q], len(ids)).astype(np.int64)
+                label = joined(label, q, found)
+        touched = np.flatnonzero((counted > 0) | (low == high))
+        return pa.table({"id": pa.array(ids[touched]), "found": pa.array(counted[touched]),
+                         "root": pa.array(ids[label[touched]])})
+
+    return settle(grid.groupBy("low", "high").applyInArrow(work, "id long, found long, root long"), "found")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 3, key: str = "vec_id",
                     vector: str = "embedding", recall: float = AUDIT_RECALL) -> DataFrame:
     """Rows ``(vec_id, n_links, component_id, kept)``, one per key.
@@ -292,8 +341,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 3
     united, and every node asks in all its shards by range-expanding greedy search over the united
     lists. A pair is counted in its first common shard. A shard beyond LOT rows is cut into lots, of
     which a task holds two. Tasks return counts and one link per row to the smallest id joined to it.
-    An audit compares a bounded set of rows with all rows; below ``recall`` the work is done again
-    with twice the overlap (MOST_OVERLAP at most). Every link is confirmed in double precision.
+    An audit compares a bounded set of rows with all rows after every pass; below ``recall`` the work is
+    done again with twice the overlap. Where MOST_OVERLAP is not enough either, all rows are compared with
+    all rows by blocks, which misses no link. Every link is confirmed in double precision.
 
     Vectors null, empty, zero, or with null or non-finite components have no links and are their own
     component. A key that repeats counts once, with its smallest usable vector; null keys are left
@@ -305,10 +355,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 3
     parts = []
     for (dim,) in sorted(groups.select(F.size("v")).distinct().collect()):
         rows, width = groups.where(F.size("v") == dim), overlap
-        n = rows.count()
         while True:
             found = _searched(rows, threshold, width)
-            if n <= LOT or width >= MOST_OVERLAP or audit(rows, found, threshold) >= recall:
+            if audit(rows, found, threshold) >= recall:
+                break
+            if width >= MOST_OVERLAP:
+                found = compared(rows, threshold)
                 break
             width *= 2
         parts.append(found)
