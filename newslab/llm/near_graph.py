@@ -23,7 +23,8 @@ NEAREST, RANDOM, DEGREE, ALPHA = 48, 24, 24, 1.2
 BEAM = 16
 #: Nodes this far below the threshold still have their neighbours looked at.
 SLACK = 0.05
-AUDIT_QUERIES, AUDIT_RECALL = 256, 0.97
+#: Asked are rows until so many with links to 1 .. FEW others are among them, at most ASKED rows at once.
+AUDIT_ROWS, FEW, ASKED, AUDIT_RECALL = 256, 7, 4096, 0.97
 MOST_OVERLAP = 48
 #: Rows of a block and of a product tile of the exact comparison.
 BLOCK, TILE = 8192, 1024
@@ -169,7 +170,7 @@ def range_search(asks: np.ndarray, own: np.ndarray, v: np.ndarray, graph: np.nda
 
 
 def _searched(rows: DataFrame, threshold: float, overlap: int) -> DataFrame:
-    """Rows ``(id, found, root)`` of unit rows ``(id, copies, v)`` by one build and search."""
+    """Rows ``(id, found, links, root)`` of unit rows ``(id, copies, v)`` by one build and search."""
     spark = rows.sparkSession
     n = rows.count()
     count = max(1, min(SAMPLE // 10, math.ceil(n * overlap / LOT)))
@@ -218,8 +219,7 @@ def _searched(rows: DataFrame, threshold: float, overlap: int) -> DataFrame:
         inside = inside[np.argsort(ids[inside])]
         asks = inside if held == asking else np.flatnonzero(~node)
         if not len(inside) or not len(asks):
-            return pa.table({"id": pa.array([], pa.int64()), "found": pa.array([], pa.int64()),
-                             "root": pa.array([], pa.int64())})
+            return pa.table({name: pa.array([], pa.int64()) for name in ("id", "found", "links", "root")})
         lists = [np.array(x, np.int64) for x in table["near"].take(pa.array(inside)).to_pylist()]
         graph = np.full((len(inside), max(1, max(map(len, lists)))), -1, np.int32)
         for i, x in enumerate(lists):
@@ -228,7 +228,7 @@ def _searched(rows: DataFrame, threshold: float, overlap: int) -> DataFrame:
             graph[i, :ok.sum()] = at[ok]
         mean = v[inside].mean(axis=0)
         medoids = np.argsort(-(v[inside] @ mean))[:1]
-        counted, edges = np.zeros(len(asks), np.int64), []
+        counted, linked, edges = np.zeros(len(asks), np.int64), np.zeros(len(asks), np.int64), []
         for start in range(0, len(asks), 256):
             some = asks[start:start + 256]
             at = np.minimum(np.searchsorted(ids[inside], ids[some]), len(inside) - 1)
@@ -242,18 +242,19 @@ def _searched(rows: DataFrame, threshold: float, overlap: int) -> DataFrame:
             common = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int64).max)
             first = common.min(axis=1, initial=np.iinfo(np.int64).max) == shard
             counted[start:start + len(some)] = np.bincount(q[first], copies[inside][found[first]], len(some))
+            linked[start:start + len(some)] = np.bincount(q[first], minlength=len(some))
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
         pairs = rank[np.concatenate(edges)] if edges else np.zeros((0, 2), np.int64)
         roots = np.array(_roots(len(ids), map(tuple, pairs.tolist())))
         touched = np.unique(np.concatenate([asks, pairs_ids(pairs, order)]))
-        amount = np.zeros(len(ids), np.int64)
-        amount[asks] = counted
-        return pa.table({"id": pa.array(ids[touched]), "found": pa.array(amount[touched]),
+        amount, links = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        amount[asks], links[asks] = counted, linked
+        return pa.table({"id": pa.array(ids[touched]), "found": pa.array(amount[touched]), "links": pa.array(links[touched]),
                          "root": pa.array(ids[order[roots[rank[touched]]]])})
 
-    found = tasks.groupBy("shard", "held", "asking").applyInArrow(search, "id long, found long, root long")
+    found = tasks.groupBy("shard", "held", "asking").applyInArrow(search, "id long, found long, links long, root long")
     return settle(found, "found")
 
 
@@ -261,28 +262,53 @@ def pairs_ids(pairs: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[np.unique(pairs)] if len(pairs) else np.zeros(0, np.int64)
 
 
-def audit(rows: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """Recall of links: found / true for the ``queries`` rows of least hash, against all rows by brute force."""
-    spark = rows.sparkSession
-    asked = rows.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(queries).select("id", "v").collect()
-    if not asked:
-        return 1.0
-    shared = spark.sparkContext.broadcast((np.array([r["id"] for r in asked]), unit(np.array([r["v"] for r in asked]))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, v = shared.value
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                near = unit(matrix(batch.column(2))) @ v.T >= threshold
-                near &= batch.column(0).to_numpy()[:, None] != ids[None, :]
-                total += (near * batch.column(1).to_numpy()[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "true"])
+def true_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows ``(id, links)``: to how many other rows the asked rows that have links are linked, by brute force.
 
-    true = rows.select("id", "copies", "v").mapInArrow(count, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    got = found.groupBy("id").agg(F.sum("found").alias("found"))
-    hit, all_ = true.join(got, "id").agg(F.sum("found"), F.sum("true")).first()
-    return 1.0 if not all_ else hit / all_
+    Rows are asked in the order of a hash, block after block, each against all rows, until AUDIT_ROWS of them have
+    1 .. FEW links (a hot group's rows alone do not end it) or all rows have been asked.
+    """
+    spark, slices, at, few, parts = rows.sparkSession, 1 << 20, 0, 0, []
+    n, size = rows.count(), 2 * AUDIT_ROWS
+    place = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(slices))
+    while at < slices and few < AUDIT_ROWS:
+        to = at + max(1, math.ceil(min(size, ASKED) * slices / max(n, 1)))
+        asked = rows.where((place >= at) & (place < to)).select("id", "v").collect()
+        at, size = to, 2 * size
+        if not asked:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in asked]), unit(np.array([r["v"] for r in asked]))))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, v = shared.value
+            total = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                for i in range(0, batch.num_rows, TILE):
+                    some = batch.slice(i, TILE)
+                    near = unit(matrix(some.column(1))) @ v.T >= threshold
+                    near &= some.column(0).to_numpy()[:, None] != ids[None, :]
+                    total += near.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[total > 0]), pa.array(total[total > 0])], ["id", "links"])
+
+        part = settle(rows.select("id", "v").mapInArrow(count, "id long, links long")
+                      .groupBy("id").agg(F.sum("links").alias("links")), "true")
+        few += part.where(F.col("links") <= FEW).count()
+        parts.append(part)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def audit(true: DataFrame, found: DataFrame) -> float:
+    """Mean over asked rows of the share of their links that was found; of rows with 1 .. FEW links and of the others, the lower.
+
+    Each row counts once, whatever its links and copies, so neither a hot group nor the many rows around small groups hide the other.
+    """
+    got = found.groupBy("id").agg(F.sum("links").alias("got"))
+    share = F.least(F.lit(1.0), F.coalesce("got", F.lit(0)) / F.col("links"))
+    means = true.join(got, "id", "left").groupBy(F.col("links") <= FEW).agg(F.avg(share)).collect()
+    return min((m for _, m in means), default=1.0)
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -299,7 +325,7 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compared(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows ``(id, found, root)`` like those of ``_searched``, by comparing all pairs of unit rows.
+    """Rows ``(id, found, links, root)`` like those of ``_searched``, by comparing all pairs of unit rows.
 
     Rows are dealt to blocks by a hash of their id; each pair of blocks meets in one task, by tiles. The work
     is the square of the rows, the traffic rows times blocks. Only counts and one link per row leave a task.
@@ -314,7 +340,7 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
         ids, copies, v = table["id"].to_numpy(), table["copies"].to_numpy(), unit(matrix(table["v"]))
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         left, right = (np.flatnonzero(table["own"].to_numpy() == x) for x in (low, high))
-        counted, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        counted, linked, label = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
         for i in range(0, len(left), TILE):
             for j in range(0, len(right), TILE):
                 a, b = left[i:i + TILE], right[j:j + TILE]
@@ -322,14 +348,16 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
                 q, found = a[q], b[found]
                 q, found = q[q != found], found[q != found]
                 counted += np.bincount(q, copies[found], len(ids)).astype(np.int64)
+                linked += np.bincount(q, minlength=len(ids))
                 if low != high:
                     counted += np.bincount(found, copies[q], len(ids)).astype(np.int64)
+                    linked += np.bincount(found, minlength=len(ids))
                 label = joined(label, q, found)
         touched = np.flatnonzero((counted > 0) | (low == high))
-        return pa.table({"id": pa.array(ids[touched]), "found": pa.array(counted[touched]),
+        return pa.table({"id": pa.array(ids[touched]), "found": pa.array(counted[touched]), "links": pa.array(linked[touched]),
                          "root": pa.array(ids[label[touched]])})
 
-    return settle(grid.groupBy("low", "high").applyInArrow(work, "id long, found long, root long"), "found")
+    return settle(grid.groupBy("low", "high").applyInArrow(work, "id long, found long, links long, root long"), "found")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 3, key: str = "vec_id",
@@ -341,7 +369,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 3
     united, and every node asks in all its shards by range-expanding greedy search over the united
     lists. A pair is counted in its first common shard. A shard beyond LOT rows is cut into lots, of
     which a task holds two. Tasks return counts and one link per row to the smallest id joined to it.
-    An audit compares a bounded set of rows with all rows after every pass; below ``recall`` the work is
+    An audit compares rows, until enough of them have links, with all rows and checks every pass by it; below ``recall`` the work is
     done again with twice the overlap. Where MOST_OVERLAP is not enough either, all rows are compared with
     all rows by blocks, which misses no link. Every link is confirmed in double precision.
 
@@ -355,9 +383,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, overlap: int = 3
     parts = []
     for (dim,) in sorted(groups.select(F.size("v")).distinct().collect()):
         rows, width = groups.where(F.size("v") == dim), overlap
+        true = true_links(rows, threshold)
         while True:
             found = _searched(rows, threshold, width)
-            if audit(rows, found, threshold) >= recall:
+            if audit(true, found) >= recall:
                 break
             if width >= MOST_OVERLAP:
                 found = compared(rows, threshold)

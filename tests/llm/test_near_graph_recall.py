@@ -42,3 +42,18 @@ def test_a_search_that_finds_nothing_ends_in_all_pairs(spark, lot, monkeypatch):
     monkeypatch.setattr(near_graph, "range_search", lambda *_: (none, none))
     rows = groups(n=300, hot=60, pairs=20, copied=3)
     assert result(spark, rows) == truth(rows)
+
+
+def test_a_hot_group_does_not_hide_lost_pairs(spark, monkeypatch):
+    for name, value in (("LOT", 200), ("MOST_OVERLAP", 3)):
+        monkeypatch.setattr(near_graph, name, value)
+    search = near_graph.range_search
+
+    def without_small_groups(asks, *rest):
+        q, found = search(asks, *rest)
+        keep = np.bincount(q, minlength=len(asks))[q] > 10
+        return q[keep], found[keep]
+
+    monkeypatch.setattr(near_graph, "range_search", without_small_groups)
+    rows = groups(n=500, hot=300, pairs=20)
+    assert result(spark, rows) == truth(rows)
