@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling over sampled suffixes."""
+"""Removal of repeated byte strings by fixed rounds of fingerprints of sampled suffixes."""
 
 from __future__ import annotations
 
@@ -248,8 +248,7 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     go: those covered by a string of ``length`` bytes that also starts elsewhere, in any text or the same.
     ``h1, h2`` are ``identity`` of the text; texts that lose nothing have no row.
 
-    Suffixes are ranked by growing prefixes, and leave once their rank is unique or the prefix is past the
-    length. Not every place is a suffix: a window of ``length`` bytes is looked after by the leftmost
+    Fixed rounds of fingerprints stand in for prefix doubling: suffixes leave once theirs is unique. Not every place is a suffix: a window of ``length`` bytes is looked after by the leftmost
     least 8-byte string among its first ``reach`` places, which is the same in every copy of the window.
     Round 1 groups the pairs of ranks of the suffix's two quarter prefixes (first and second half of the
     ``length - reach + 1`` bytes that all its windows share); unique suffixes leave. Round 2 ranks those
