@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslab.llm import (block_knn, bpe, chat, language, near_graph, packing, quality, repeats, simhash,
-                         token_files)
+from newslab.llm import (block_knn, bpe, chat, language, letter_trie, max_sketch, near_graph, packing, quality, repeats,
+                         simhash, super_kmers, token_files)
 from newslab.llm.common import documents, key_hash
 from newslab.session import new_table_path
 
@@ -143,3 +143,44 @@ def quality_network(docs: DataFrame, folder: str):
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op11_max_sketch_search", r"""
+    WITH texts AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents),
+    sizes AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n FROM texts WHERE len(terms) > 0),
+    corpus AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+    held AS (SELECT doc_id, unnest(terms) AS term FROM texts),
+    counted AS (SELECT doc_id, term, count(*) AS tf FROM held GROUP BY doc_id, term),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counted, corpus GROUP BY term, docs),
+    asked AS (
+        SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark),
+    scored AS (
+        SELECT item_id, doc_id,
+               CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+        FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus
+        GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 20""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = max_sketch.search(spark.read.parquet(f"{folder}/benchmark.parquet"), documents(spark, folder))
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+@query("op12_letter_trie")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return letter_trie.spelling_variants(documents(spark, folder))
+
+
+@query("op13_super_kmers")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = super_kmers.remove_repeats(documents(spark, folder).select("doc_id", "text"), ["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_removed", (F.col("n_words") - F.col("n_removed")).alias("n_kept"),
+                        "kept_sha256", "kept_text")
