@@ -210,7 +210,7 @@ _FOUND = "id long, h long, first long, last long"
 
 def _gone(ids: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, buckets: int) -> pa.RecordBatch:
     row, first, last = _merged((ids, h), first, last)
-    columns = [pa.array((first % buckets).astype(np.int32)), pa.nulls(len(row), pa.binary()), *map(pa.array, (ids[row], h[row], first, last))]
+    columns = [pa.array((h[row] % buckets).astype(np.int32)), pa.nulls(len(row), pa.binary()), *map(pa.array, (ids[row], h[row], first, last))]
     return pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "id", "h", "first", "last"])
 
 
