@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from newslab.llm.common import by_size
 from newslab.llm.memo import KEPT, ChunkedEncoder, Memory
 
 #: Greater than any rank.
@@ -141,8 +142,9 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: list
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
-        for batch in batches:
-            ids = [own.encode(t) for t in batch.column(1).to_pylist()]
+        for batch in by_size(batches, 1):
+            every, bounds = own.encode(batch.column(1))
+            ids = [every[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             back = [own.decode(np.frombuffer(x, "<u4")) for x in ids]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),

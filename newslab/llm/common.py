@@ -44,6 +44,17 @@ def by_slice(batches: Iterator[pa.RecordBatch],
             yield work(batch.slice(at, SLICE))
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with up to ``most`` bytes of text (a longer text is alone)."""
+    for batch in batches:
+        _, ends = text_bytes(batch.column(column))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def spread(df: DataFrame) -> int:
     """The number of partitions for explicit exchanges: what the session says."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from newslab.llm.common import by_size
 from newslab.llm.memo import library_encoder
 
 CAPACITY = 1024
@@ -105,7 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, keep: list[str], end_id: int = 0,
                 [kept.take(pa.array(source, pa.int64())),
                  *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-        return _windows(batches, lambda t: encode(t) + end, window, capacity, packed)
+        return _windows(by_size(batches, 1), encode, end, window, capacity, packed)
 
     schema = StructType([rows.schema["row"]])
     for name in names[1:7]:
@@ -113,16 +114,17 @@ def pack(docs: DataFrame, tokenizer_path: str, keep: list[str], end_id: int = 0,
     return rows.mapInArrow(work, schema.add("ids", "binary") if ids else schema)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], encode: Callable[[str], bytes], window: int,
-             capacity: int, packed: Callable) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], encode: Callable, end: bytes, window: int, capacity: int, packed: Callable) -> Iterator[pa.RecordBatch]:
     """Encode documents and hand them on by windows of ``window`` documents or 64 MB of ids."""
     held: list[tuple[bytes, int, int]] = []
     kept: list[pa.Array] = []
     size = 0
     for batch in batches:
         done = 0
-        for i, text in enumerate(batch.column(1)):
-            data = encode(text.as_py())
+        ids, bounds = encode(batch.column(1))
+        ends = bounds.tolist()
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            data = ids[a:b].tobytes() + end
             total = len(data) // 4
             held.append((data, total // capacity * capacity, total))
             size += len(data)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newslab.llm.common import spread
+from newslab.llm.common import by_size, spread
 from newslab.llm.memo import library_encoder
 from newslab.session import settle
 
@@ -21,7 +21,7 @@ from newslab.session import settle
 SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 14
 #: Fixed values of the format: four letters, then version, id width, documents, ids, and length of the bounds.
-MAGIC, VERSION = b"EFTK", 1
+MAGIC, VERSION = b"EFTK", 2
 HEADER = struct.Struct("<4sBBxxIQI")
 #: Ones between two samples of the select structure.
 SAMPLE = 512
@@ -31,14 +31,14 @@ class EliasFano:
     """A rising sequence of n numbers below u in about n * (2 + log2(u / n)) bits.
 
     The low bits of all numbers stand side by side; the high parts are unary gaps in one bit string,
-    in which the i-th one is at high + i. ``select`` finds it from every SAMPLE-th one's word, so
-    no table of offsets is kept.
+    in which the i-th one is at high + i. ``select`` finds it from the place of the last of every SAMPLE-th
+    ones, which are stored, by counting bits from there: no table of offsets is kept or built.
     """
 
-    def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray):
-        self.n, self.low_bits, self.lows, self.highs = n, low_bits, lows, highs
-        self._ones = np.concatenate([[0], np.cumsum(np.bitwise_count(highs), dtype=np.uint32)])
-        self._samples = np.searchsorted(self._ones, np.arange(0, n, SAMPLE), side="right") - 1
+    HEAD = struct.Struct("<III")
+
+    def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, samples: np.ndarray):
+        self.n, self.low_bits, self.lows, self.highs, self.samples = n, low_bits, lows, highs, samples
 
     @classmethod
     def of(cls, numbers: np.ndarray) -> EliasFano:
@@ -49,38 +49,39 @@ class EliasFano:
         at = (numbers >> low_bits) + np.arange(n)
         high = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         high[at] = 1
-        return cls(n, low_bits, lows, np.packbits(high, bitorder="little"))
+        return cls(n, low_bits, lows, np.packbits(high, bitorder="little"), at[::SAMPLE].astype("<u8"))
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<IBI", self.n, self.low_bits, len(self.lows)) + self.lows.tobytes() + self.highs.tobytes()
+        return self.HEAD.pack(self.n, self.low_bits, len(self.lows)) + b"".join(
+            x.tobytes() for x in (self.samples, self.lows, self.highs))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, low_bits, size = struct.unpack_from("<IBI", data)
-        body = np.frombuffer(data, np.uint8, offset=9)
-        return cls(n, low_bits, body[:size], body[size:])
+        n, low_bits, size = cls.HEAD.unpack_from(data)
+        samples = np.frombuffer(data, "<u8", -(-n // SAMPLE), cls.HEAD.size)
+        body = np.frombuffer(data, np.uint8, offset=cls.HEAD.size + samples.nbytes)
+        return cls(n, low_bits, body[:size], body[size:], samples)
 
     def select(self, i: int) -> int:
         """The place of the i-th one among the high bits."""
-        word = int(self._samples[i // SAMPLE])
-        step = np.searchsorted(self._ones[word + 1:word + 1 + 4 * SAMPLE], i, side="right")
-        word += int(step)
-        while self._ones[word + 1] <= i:  # a gap longer than the stretch looked at
-            word += 1
-        inside = np.flatnonzero(np.unpackbits(self.highs[word:word + 1], bitorder="little"))
-        return word * 8 + int(inside[i - int(self._ones[word])])
+        start, left = int(self.samples[i // SAMPLE]), i % SAMPLE + 1
+        byte = start >> 3
+        stretch = self.highs[byte:byte + SAMPLE].copy()
+        stretch[0] &= 0xFF << (start & 7) & 0xFF
+        while True:
+            ones = np.cumsum(np.bitwise_count(stretch), dtype=np.int64)
+            if ones[-1] >= left:
+                break
+            left, byte = left - int(ones[-1]), byte + len(stretch)  # a gap longer than the stretch
+            stretch = self.highs[byte:byte + SAMPLE]
+        at = int(np.searchsorted(ones, left))
+        inside = np.flatnonzero(np.unpackbits(stretch[at:at + 1], bitorder="little"))
+        return (byte + at) * 8 + int(inside[left - 1 - (int(ones[at - 1]) if at else 0)])
 
     def __getitem__(self, i: int) -> int:
-        bits = np.arange(i * self.low_bits, (i + 1) * self.low_bits)
-        low = int((((self.lows[bits >> 3] >> (bits & 7)) & 1).astype(np.int64) << np.arange(self.low_bits)).sum())
-        return (self.select(i) - i) << self.low_bits | low
-
-    def numbers(self) -> np.ndarray:
-        """All of them, at once."""
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[:self.n]
-        bits = np.unpackbits(self.lows, bitorder="little")[:self.n * self.low_bits].astype(np.int64)
-        low = bits.reshape(self.n, self.low_bits) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return (ones - np.arange(self.n)) << self.low_bits | low
+        first, stop = i * self.low_bits, (i + 1) * self.low_bits
+        low = int.from_bytes(self.lows[first >> 3:(stop + 7) >> 3].tobytes(), "little") >> (first & 7)
+        return (self.select(i) - i) << self.low_bits | low & (1 << self.low_bits) - 1
 
 
 def to_segment(documents: list[bytes], width: int) -> bytes:
@@ -100,9 +101,13 @@ class Segment:
         self.bounds = EliasFano.from_bytes(data[HEADER.size:HEADER.size + size])
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, HEADER.size + size)
 
+    def span(self, i: int) -> tuple[int, int]:
+        """Where a document's ids start and stop, by two selects."""
+        return self.bounds[i], self.bounds[i + 1]
+
     def document(self, i: int) -> np.ndarray:
-        """One document's ids, by two selects."""
-        return self.ids[self.bounds[i]:self.bounds[i + 1]]
+        start, stop = self.span(i)
+        return self.ids[start:stop]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, width: int = 2,
@@ -138,9 +143,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                  pa.array([n], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
                  pa.array([to_segment(held, width)], pa.binary())], names)
 
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append(encode(t.as_py()) + end)
+        for batch in by_size(batches, 1):
+            ids, bounds = encode(batch.column(1))
+            ends = bounds.tolist()
+            for k, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                held.append(ids[a:b].tobytes() + end)
                 keys.append(k)
                 n += len(held[-1]) // 4
                 if n >= SEGMENT_IDS or len(held) >= SEGMENT_DOCS:
@@ -169,11 +176,10 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
         for batch in batches:
             for row in range(batch.num_rows):
                 segment = Segment(batch.column(2)[row].as_py())
-                bounds, all_ids = segment.bounds.numbers(), segment.ids.astype("<u4")
-                ends = bounds.tolist()
-                cut = [all_ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [batch.column(1)[row].values, pa.array(bounds[:-1] + batch.column(0)[row].as_py()),
-                           pa.array(np.diff(bounds)), pa.array([zlib.crc32(c) for c in cut], pa.int64())]
+                spans = np.array([segment.span(i) for i in range(segment.n_docs)], np.int64)
+                cut = [segment.ids[a:b].astype("<u4").tobytes() for a, b in spans.tolist()]
+                columns = [batch.column(1)[row].values, pa.array(spans[:, 0] + batch.column(0)[row].as_py()),
+                           pa.array(spans[:, 1] - spans[:, 0]), pa.array([zlib.crc32(c) for c in cut], pa.int64())]
                 columns += [pa.array(cut, pa.binary())] * ids
                 yield pa.RecordBatch.from_arrays(columns, names)
 

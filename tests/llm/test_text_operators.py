@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import xxhash
@@ -149,24 +150,34 @@ def plain_repeats(all_texts, n=400):
     return out
 
 
-@pytest.mark.parametrize("class_rows", [8000, 2])
-def test_repeats_equal_all_windows(spark, class_rows, monkeypatch):
+@pytest.mark.parametrize(("class_rows", "length", "reach"), [(8000, 400, 200), (2, 400, 200), (8000, 240, 150)])
+def test_repeats_equal_all_windows(spark, class_rows, length, reach, monkeypatch):
     whole = repeats.repeated_strings
     monkeypatch.setattr(repeats, "repeated_strings", lambda *a: whole(*a, class_rows=class_rows))
-    got = repeats.remove_repeats(docs(spark)).collect()
+    got = repeats.remove_repeats(docs(spark), length=length, reach=reach).collect()
     key = lambda x: (x[0] or "", x[0] is None)
-    assert sorted([(r.row.text, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got], key=key) == sorted(plain_repeats(TEXTS), key=key)
+    assert sorted([(r.row.text, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got],
+                  key=key) == sorted(plain_repeats(TEXTS, length), key=key)
 
 
 @pytest.mark.parametrize(("file", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_chunked_ids_equal_the_library(file, spaced):
     library = Tokenizer.from_file(P.path(file))
-    library.encode_special_tokens = True
     encode = memo.library_encoder(P.path(file), spaced)
     marks = [*BITS, " ", " ", "\x85", "\x1c", "İ", "é", " ́", "<|endoftext|>", ".", "Straße,", "ª", "B", " "]
-    for _ in range(3000):
-        t = "".join(random.choice(marks) for _ in range(random.randrange(25)))
-        assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    def letter():
+        return chr(random.choice([random.randrange(32, 127), random.randrange(160, 592), random.randrange(768, 880),
+                                  random.randrange(880, 1424), random.randrange(0x1E00, 0x2070), random.randrange(0x3040, 0x3100)]))
+
+    made = ["".join(random.choice(marks) for _ in range(random.randrange(25))) for _ in range(3000)]
+    made += ["".join(random.choice([" ", "\n", ".", "İ", "a", letter(), letter()]) for _ in range(random.randrange(25)))
+             for _ in range(8000)]
+    made += ["x İ!", "TARİHİ, SERİ.", "a <|endoftext|> b", "a<|endoftext|>.\nb", "a\n\nb \n c\n", "one.\nTwo,\nthree", "a\r\nb"]
+    ids, bounds = encode(pa.array([None, "", *made])[1:])
+    assert bounds[0] == bounds[1] == 0 and len(bounds) == len(made) + 2 and bounds[-1] == len(ids)
+    for t, a, b in zip(made, bounds[1:-1], bounds[2:], strict=True):
+        assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert [len(x) for x in encode(pa.array([], pa.string()))] == [0, 1] and encode(pa.array([None, "a"]))[1].tolist() == [0, 0, 1]
 
 
 def test_prefix_tables_append_and_edit():
@@ -183,9 +194,13 @@ def test_prefix_tables_append_and_edit():
         at = random.randrange(len(a + b) + 1)
         new, edited = own.edit(a + b, table, at, min(at + 2, len(a + b)), b"ing")
         assert edited == own.table(new)
-    for t in TEXTS:
-        ids = np.frombuffer(codec.encode(t), "<u4")
+    every, bounds = codec.encode(pa.array(TEXTS))
+    for t, a, b in zip(TEXTS, bounds, bounds[1:], strict=False):
+        ids = every[a:b]
         assert ids.tolist() == library.encode_ordinary(t or "") and codec.decode(ids).decode() == (t or "")
+    odd = ["a\n\nb\n", "one.\nTwo,\nthree", "a\r\nb", "x İ!", "'s\n's", *("".join(random.choices(["\n", "a", " ", ".", "1", "é"], k=9)) for _ in range(500))]
+    every, bounds = codec.encode(pa.array(odd))
+    assert [every[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode_ordinary(t) for t in odd]
 
 
 def test_bpe_rows(spark):
@@ -199,7 +214,6 @@ def test_bpe_rows(spark):
 
 def test_packing_places_every_id_once(spark):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = packing.pack(docs(spark).coalesce(2), P.path("byte_bpe_50k.json"), ["doc_id", "text"], window=16).collect()
     by_text, by_sequence = {}, {}
     for r in rows:
@@ -236,15 +250,18 @@ def test_elias_fano_round_trip(n):
     for gap in (2, 5000):
         want = np.cumsum(np.random.default_rng(n).integers(0, gap, n))
         coded = token_files.EliasFano.from_bytes(token_files.EliasFano.of(want).to_bytes())
-        assert coded.numbers().tolist() == want.tolist() == [coded[i] for i in range(n)]
-    far = np.array([0, 7, 10 ** 6, 10 ** 6])
-    assert [token_files.EliasFano.of(far)[i] for i in range(4)] == far.tolist()
+        assert want.tolist() == [coded[i] for i in range(n)]
+    far = np.array([0, 7, 10 ** 6, 10 ** 6, 10 ** 8])
+    assert [token_files.EliasFano.of(far)[i] for i in range(5)] == far.tolist()
+    if n:
+        steps = np.concatenate([np.arange(1500), 10 ** 7 + np.arange(1500) * 3])
+        coded = token_files.EliasFano.of(steps)
+        assert [coded[i] for i in range(3000)] == steps.tolist() and len(coded.samples) == 6
 
 
 def test_token_files_read_back_in_order(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_DOCS", 7)
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     path = new_table_path(spark, "tokens")
     token_files.write_token_files(docs(spark), path, P.path("word_bpe_49k.json"))
     rows = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
