@@ -90,7 +90,8 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove_repeats(documents(spark, folder).select("doc_id", "text"))
-    return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "kept_sha256", "kept_text")
 
 
 @query("op5_language_codes")

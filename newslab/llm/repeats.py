@@ -320,7 +320,8 @@ def repeated_strings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             .where("n_removed > 0"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
+                   reach: int = REACH) -> DataFrame:
     """Rows ``(row struct of all columns, n_bytes, n_removed, spans, kept_sha256, kept_text)``, one per input row.
 
     ``kept_text`` is what is left, without the rest of a character that was cut in two; the digest is of the bytes. Repeated rows stay, and, being each
@@ -331,7 +332,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), h1, h2, F.octet_length(plain).cast("long").alias("n_bytes"),
                        F.sha2(plain, 256).alias("whole"))
-    found = settle(repeated_strings(docs, key, text, length), "repeats")
+    found = settle(repeated_strings(docs, key, text, length, reach), "repeats")
     return (rows.join(found, ["h1", "h2"], "left")
             .select("row", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                     F.coalesce("spans", F.array()).alias("spans"),
