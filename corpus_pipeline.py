@@ -14,6 +14,9 @@ from newslab.session import settle
 
 #: A language that is ambiguous and less sure than this is none.
 SURE = 0.4
+#: A repeated passage has so many bytes: some 40 words, so that one of 50 short words is found, too. Its windows'
+#: sampled suffixes start within the first so many.
+REPEAT, REPEAT_REACH = 240, 150
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated strings of 400 bytes; n_chars counts what is left."""
-    found = repeats.remove_repeats(docs)
+    """Texts without their repeated strings of REPEAT bytes; n_chars counts what is left."""
+    found = repeats.remove_repeats(docs, length=REPEAT, reach=REPEAT_REACH)
     kept = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     return found.select(*[kept.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
