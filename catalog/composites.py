@@ -58,10 +58,8 @@ def c5(t: Tables):
     vectors = S.search(t.vectors, t.index, "auto", corpus=t.vectors, embed=lambda q: q, top_n=5,
                        min_similarity=0.2)
     words = S.search(t.queries, t.index, "auto")
-    columns = ["query_id", "ticker", "rank", "headline"]
-    return vectors.select(F.lit("semantic").alias("method"), *columns).unionByName(
-        words.select(F.lit("lexical").alias("method"), *columns)
-    )
+    columns = ["method", "query_id", "ticker", "rank", "headline"]
+    return vectors.select(*columns).unionByName(words.select(*columns))
 
 
 @query("c6_forward_returns", f"SELECT ticker, date, base_date, {r(RETS)} FROM fwd")

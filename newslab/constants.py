@@ -28,7 +28,6 @@ TOP_N = 20
 MIN_SHARED = 2                    # words
 MIN_HEADLINE_CHARS = 5
 MIN_SIMILARITY = 0.55
-NEWEST_CAP = 200_000              # headlines per ticker
 EMBED_BATCH = 64
 HALF_LIFE_DAYS = 180
 CLASS_CUT = 0.1                   # bullish above, bearish below the negative
@@ -51,4 +50,5 @@ ROBUST_GAP = 0.10
 EDGE_SHARPE = 0.10
 DASHBOARD_FLOOR = "2000-01-01"
 INDEX_ROW_GROUP = 100_000
+INDEX_BUCKETS = 64  # folders of tickers in an index
 UNSCORED = -1e9                   # stands in for a missing mean when picking the best

@@ -51,15 +51,17 @@ def merge_days(left: DataFrame, right: DataFrame) -> DataFrame:
     def padded(df: DataFrame, side: int) -> DataFrame:
         have = set(df.columns)
         return df.select(
-            "ticker", "date", F.lit(side).alias("_side"),
+            "ticker", "date", F.lit(1 << 32 * side).cast("long").alias("_side"),
             *[F.col(c) if c in have else F.lit(None).cast(columns[c]).alias(c) for c in values],
         )
 
     stacked = padded(left, 0).unionByName(padded(right, 1)).repartition("ticker")
-    twice = (F.count("*") > 2) | ((F.count("*") == 2) & (F.min("_side") == F.max("_side")))
-    error = F.raise_error(F.lit("two rows of one table for one ticker and day"))
-    return stacked.groupBy("ticker", "date").agg(
-        *[F.when(twice, error).otherwise(F.max(c)).alias(c) for c in values])
+    # The rows of both sides are counted in the halves of one number, and looked at once for a day.
+    rows = F.sum("_side").alias("_rows")
+    once = (F.col("_rows") < 1 << 33) & (F.col("_rows") % (1 << 32) < 2)
+    error = F.raise_error(F.lit("two rows of one table for one ticker and day")).cast("boolean")
+    return stacked.groupBy("ticker", "date").agg(rows, *[F.max(c).alias(c) for c in values]).filter(
+        F.when(once, True).otherwise(error)).drop("_rows")
 
 
 def prices_with_sentiment(prices: DataFrame, daily: DataFrame, how: str = "left",
@@ -81,12 +83,6 @@ def prices_with_sentiment(prices: DataFrame, daily: DataFrame, how: str = "left"
     return rows.dropna(subset=["daily_score"]) if how == "inner" else rows
 
 
-def first_price_day(daily: DataFrame, lead_days: int = C.LEAD_DAYS) -> DataFrame:
-    return daily.groupBy("ticker").agg(
-        F.date_sub(F.min("date"), lead_days).alias("price_start")
-    )
-
-
 def sentiment_days(frame: DataFrame) -> DataFrame:
     return frame.groupBy("ticker").agg(F.count("daily_score").alias("sentiment_days"))
 

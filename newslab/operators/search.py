@@ -16,6 +16,7 @@ from newslab.functions import text
 from newslab.functions.dates import DateLike, within
 from newslab.operators.newest import newest_per_ticker
 from newslab.session import settle
+from newslab.sources.headlines import for_tickers as tickers_only
 
 log = logging.getLogger(__name__)
 
@@ -44,12 +45,15 @@ def check_queries(queries: DataFrame, method: str = "auto") -> DataFrame:
     )
 
 
+def asked_tickers(queries: DataFrame) -> DataFrame:
+    """The tickers that queries ask for, with their number of queries. They are stored, so that Spark sees their
+    size and sends them to every task while they are few."""
+    return settle(queries.groupBy("ticker").agg(F.count("*").alias("n_queries")), "tickers")
+
+
 def of_asked_tickers(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Only rows of tickers that some query asks for. The ticker names are stored first, so
-    Spark sees their size, sends them to every task while they are few, and skips the folders
-    of other tickers in a table laid out by ticker."""
-    tickers = settle(queries.select("ticker").distinct(), "tickers")
-    return rows.join(tickers, "ticker", "left_semi")
+    """Only rows of tickers that some query asks for; of an index, only their buckets are read."""
+    return tickers_only(rows, asked_tickers(queries))
 
 
 def _match_rows(df: DataFrame) -> DataFrame:
@@ -85,9 +89,9 @@ _QUERIES_PER_PART = 4096
 _PARTS_IN_PLACE = 64
 
 
-def part_count(queries: DataFrame) -> int:
-    """Tickers are dealt to so many parts; a part holds the queries of many small tickers."""
-    return max(1, -(-queries.count() // _QUERIES_PER_PART))
+def part_count(tickers: DataFrame) -> int:
+    """Asked tickers are dealt to so many parts; a part holds the queries of many small tickers."""
+    return max(1, -(-(tickers.agg(F.sum("n_queries")).first()[0] or 0) // _QUERIES_PER_PART))
 
 
 def blocks(df: DataFrame, rows_per_block: int, parts: int = 1) -> DataFrame:
@@ -227,7 +231,8 @@ def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_
     and only matches that can be among a query's best ``top_n`` leave the task.
     """
     queries = queries.withColumn("ticker", text.ticker_key(F.col("ticker")))
-    parts = part_count(queries)
+    tickers = asked_tickers(queries)
+    parts = part_count(tickers)
     own = F.array_distinct("keywords") if "keywords" in queries.columns else text.keywords(
         F.col("headline"))
 
@@ -246,7 +251,7 @@ def lexical_search(headlines: DataFrame, queries: DataFrame, top_n: int = C.TOP_
         _KEYWORDS_PER_BLOCK, parts,
     ).withColumnRenamed("ticker", "asked_ticker")
     stored = blocks(
-        within(of_asked_tickers(headlines, queries), date_from, date_to)
+        within(tickers_only(headlines, tickers), date_from, date_to)
         .filter(F.col("headline").isNotNull())
         .select("ticker", "headline", "sentiment_score",
                 numbers(F.array_distinct(text.stored_words(F.col("headline")))).alias("words"),
@@ -314,7 +319,7 @@ _QUERIES_PER_BLOCK = 1024
 
 
 def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int | None,
-                  min_similarity: float) -> DataFrame:
+                  min_similarity: float, parts: int | None = None) -> DataFrame:
     """Candidates of each query with their cosine: every headline of the query's ticker is
     compared, and only those at or above the floor that can still be among the query's
     best ``top_n`` leave the task (None: all of them).
@@ -324,7 +329,7 @@ def similar_pairs(corpus: DataFrame, queries: DataFrame, top_n: int | None,
     blocks are shuffled, and a part with very many of them is split (adaptive skew join).
     Vectors of different lengths in both tables are an error.
     """
-    parts = part_count(queries)
+    parts = part_count(asked_tickers(queries)) if parts is None else parts
     known = F.col("embedding").isNotNull()
     vector = F.col("embedding").cast("array<float>").alias("embedding")
     stored = blocks(
@@ -395,18 +400,21 @@ def semantic_search(corpus: DataFrame, queries: DataFrame, top_n: int = C.TOP_N,
     ``query_id``. All headlines are compared, unless ``cap`` asks for each ticker's newest rows
     only; those are taken before the date bounds apply."""
     queries = queries.withColumn("ticker", text.ticker_key(F.col("ticker")))
-    rows = of_asked_tickers(corpus, queries)
+    tickers = asked_tickers(queries)
+    rows = tickers_only(corpus, tickers)
     if cap is not None:
         rows = newest_per_ticker(rows, cap)
-    pairs = similar_pairs(within(rows, date_from, date_to), queries, top_n, min_similarity)
+    pairs = similar_pairs(within(rows, date_from, date_to), queries, top_n, min_similarity, part_count(tickers))
     return _match_rows(rank_semantic(pairs, top_n))
 
 
 # --- choice of method ------------------------------------------------------------
 
+METHODS = ("auto", "lexical", "semantic")
+
 
 class SemanticUnavailable(RuntimeError):
-    pass
+    """There is no model, or nothing that it has embedded."""
 
 
 def search(queries: DataFrame, headlines: DataFrame, method: str = "auto",
@@ -414,8 +422,9 @@ def search(queries: DataFrame, headlines: DataFrame, method: str = "auto",
            date_from: DateLike = None, date_to: DateLike = None, **options) -> DataFrame:
     """``auto`` takes embeddings where a corpus and an embedder are given and shared words
     otherwise; ``lexical`` and ``semantic`` force one. An empty semantic result stays empty.
-    The choice is made while the plan is built."""
-    if method not in ("auto", "lexical", "semantic"):
+    The choice is made while the plan is built, and stands in the column ``method``. Only a missing model changes
+    it: an embedder says so by :class:`SemanticUnavailable` or ImportError; any other failure ends the search."""
+    if method not in METHODS:
         raise ValueError(f"unknown search method {method!r}")
     bounds = {"top_n": top_n, "date_from": date_from, "date_to": date_to}
     if method != "lexical":
@@ -423,10 +432,10 @@ def search(queries: DataFrame, headlines: DataFrame, method: str = "auto",
             if corpus is None or embed is None:
                 raise SemanticUnavailable("no embedded corpus or no embedder")
             asked = embed(queries)
-        except (SemanticUnavailable, ImportError, OSError) as error:  # no model or no files of it
+        except (SemanticUnavailable, ImportError) as error:
             if method == "semantic":
                 raise
             log.warning("semantic search unavailable (%s), using shared words", error)
         else:
-            return semantic_search(corpus, asked, **bounds, **options)
-    return lexical_search(headlines, queries, **bounds)
+            return semantic_search(corpus, asked, **bounds, **options).withColumn("method", F.lit("semantic"))
+    return lexical_search(headlines, queries, **bounds).withColumn("method", F.lit("lexical"))

@@ -7,6 +7,8 @@ from the lagged inputs after that: no variant needs a window, a sort or an excha
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslab import constants as C
@@ -61,21 +63,20 @@ def alternating_split(universe: DataFrame) -> DataFrame:
 # --- variants ----------------------------------------------------------------------
 
 
-def threshold_variants(thresholds=C.THRESHOLDS) -> list[Column]:
-    return [_variant("threshold", t, True, True) for t in thresholds]
+@dataclass(frozen=True)
+class Variant:
+    mode: str
+    threshold: float
+    uses_sentiment: bool = True
+    uses_trend: bool = True
 
 
-def mode_variants(modes=MODES) -> list[Column]:
-    return [
-        _variant(m, 0.0, sentiment=m != "trend", trend=m != "sentiment") for m in modes
-    ]
+def threshold_variants(thresholds=C.THRESHOLDS) -> list[Variant]:
+    return [Variant("threshold", float(t)) for t in thresholds]
 
 
-def _variant(mode: str, threshold: float, sentiment: bool, trend: bool) -> Column:
-    return F.struct(
-        F.lit(mode).alias("mode"), F.lit(float(threshold)).alias("threshold"),
-        F.lit(sentiment).alias("uses_sentiment"), F.lit(trend).alias("uses_trend"),
-    )
+def mode_variants(modes=MODES) -> list[Variant]:
+    return [Variant(m, 0.0, uses_sentiment=m != "trend", uses_trend=m != "sentiment") for m in modes]
 
 
 def _signal_inputs() -> Column:
@@ -86,36 +87,58 @@ def _signal_inputs() -> Column:
     )
 
 
-def _position(inputs: str) -> Column:
+def _position(inputs: str, variant: Variant) -> Column:
     """Position taken from one day's inputs; 0 before the first day."""
-    state, v = F.col(inputs), F.col("variant")
-    sentiment_ok = ~v["uses_sentiment"] | F.coalesce(state["sentiment"] > v["threshold"], F.lit(False))
-    trend_ok = ~v["uses_trend"] | F.coalesce(state["up"], F.lit(False))
-    return F.when(state.isNotNull() & sentiment_ok & trend_ok, state["weight"]).otherwise(0.0)
+    state = F.col(inputs)
+    held = state.isNotNull()
+    if variant.uses_sentiment:
+        held &= state["sentiment"] > variant.threshold
+    if variant.uses_trend:
+        held &= state["up"]
+    return F.when(held, state["weight"]).otherwise(0.0)  # an unknown condition is none
+
 
+def _variant_return(variant: Variant) -> Column:
+    now, before = _position("_day1", variant), _position("_day2", variant)
+    return net_return(now, F.col("returns"), F.abs(now - before))
 
-def variant_returns(frame: DataFrame, variants: list[Column]) -> DataFrame:
-    lagged = frame.select(
+
+def lagged_inputs(frame: DataFrame) -> DataFrame:
+    """A day's return with the signal inputs of the two days before."""
+    return frame.select(
         "ticker", "date", "returns",
         F.lag(_signal_inputs(), 1).over(by_day()).alias("_day1"),
         F.lag(_signal_inputs(), 2).over(by_day()).alias("_day2"),
     )
-    rows = lagged.withColumn("variant", F.explode(F.array(*variants)))
-    turnover = F.abs(_position("_day1") - _position("_day2"))
-    return rows.select(
-        "ticker", "date", "variant.mode", "variant.threshold", "returns",
-        net_return(_position("_day1"), F.col("returns"), turnover).alias("strategy_returns"),
-    )
 
 
-def variant_scores(frame: DataFrame, variants: list[Column]) -> DataFrame:
-    """Sharpe ratio and total return per ticker and variant, and of holding the ticker."""
-    r, held = F.col("strategy_returns"), F.col("returns")
-    return variant_returns(frame, variants).groupBy("ticker", "mode", "threshold").agg(
-        sharpe(F.avg(r), F.stddev_samp(r)).alias("sharpe"),
-        (F.product(1 + F.coalesce(r, F.lit(0.0))) - 1).alias("total_return"),
-        sharpe(F.avg(held), F.stddev_samp(held)).alias("bh_sharpe"),
-    )
+def variant_returns(frame: DataFrame, variants: list[Variant]) -> DataFrame:
+    """The daily returns of every variant, one row per ticker, day and variant."""
+    each = [F.struct(F.lit(v.mode).alias("mode"), F.lit(v.threshold).alias("threshold"), _variant_return(v).alias("strategy_returns"))
+            for v in variants]
+    return lagged_inputs(frame).select("ticker", "date", "returns", F.inline(F.array(*each))).select(
+        "ticker", "date", "mode", "threshold", "returns", "strategy_returns")
+
+
+def variant_scores(frame: DataFrame, variants: list[Variant]) -> DataFrame:
+    """Sharpe ratio and total return per ticker and variant, and of holding the ticker.
+
+    Each variant is a column of its own beside the others, and its mean, deviation and growth are added up in the one
+    aggregate by ticker; a row is not repeated per variant. Only the finished rows, one per ticker, are unfolded.
+    """
+    held = F.col("returns")
+    days = lagged_inputs(frame).select("ticker", "returns", *[_variant_return(v).alias(f"_r{i}") for i, v in enumerate(variants)])
+    scores = [
+        F.struct(
+            F.lit(v.mode).alias("mode"), F.lit(v.threshold).alias("threshold"),
+            sharpe(F.avg(f"_r{i}"), F.stddev_samp(f"_r{i}")).alias("sharpe"),
+            (F.product(1 + F.coalesce(f"_r{i}", F.lit(0.0))) - 1).alias("total_return"),
+        ).alias(f"_v{i}")
+        for i, v in enumerate(variants)
+    ]
+    sums = days.groupBy("ticker").agg(sharpe(F.avg(held), F.stddev_samp(held)).alias("bh_sharpe"), *scores)
+    return sums.select("ticker", "bh_sharpe", F.inline(F.array(*[f"_v{i}" for i in range(len(variants))]))).select(
+        "ticker", "mode", "threshold", "sharpe", "total_return", "bh_sharpe")
 
 
 def sharpe_at(frame: DataFrame, threshold: float) -> DataFrame:

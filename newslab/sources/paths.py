@@ -5,35 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def _located(spark: SparkSession, path: str):
+def located(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that names it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _located(spark, path)
+    fs, hadoop_path = located(spark, path)
     return fs.exists(hadoop_path)
 
 
-def complete(spark: SparkSession, path: str) -> bool:
-    """A file, or a folder whose write was committed; one that was left half written is not."""
-    fs, hadoop_path = _located(spark, path)
-    return fs.exists(hadoop_path) and (fs.isFile(hadoop_path) or exists(spark, f"{path.rstrip('/')}/_SUCCESS"))
-
-
-def swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put the finished table ``new`` in the place of ``path``; the old one goes only after that."""
-    fs, target = _located(spark, path)
-    source, old = _located(spark, new)[1], _located(spark, f"{path.rstrip('/')}.old")[1]
-    fs.delete(old, True)
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"cannot replace {path}")
-    if not fs.rename(source, target):
-        fs.rename(old, target)
-        raise OSError(f"cannot replace {path}")
-    fs.delete(old, True)
-
-
 def require(spark: SparkSession, path: str, what: str) -> None:
     if not exists(spark, path):
         raise FileNotFoundError(f"{what} not found: {path}")

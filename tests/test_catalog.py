@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from catalog.registry import ORACLES, QUERIES
 from tests.check_catalog import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,8 +19,8 @@ def test_query(spark, con, name):
     assert compare(spark, con, name, FOLDER) is None
 
 
-def test_only_models_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"p1_trained_scorer"}
+def test_every_query_of_the_catalog_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
