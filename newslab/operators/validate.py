@@ -24,10 +24,10 @@ MODES = ("trend", "sentiment", "combined")
 
 def universe_frames(headlines: DataFrame, prices: DataFrame,
                     universe: list[str] | DataFrame | None = None,
-                    min_days: int = C.MIN_SENTIMENT_DAYS) -> DataFrame:
+                    min_days: int = C.MIN_SENTIMENT_DAYS, stored: bool = False) -> DataFrame:
     """Strategy frames of the universe, without tickers that have too little sentiment. A
-    universe given as a table is stored first, so that Spark joins it by its true size."""
-    if isinstance(universe, DataFrame):
+    universe given as a table is stored first, unless it is, so that Spark joins it by its true size."""
+    if isinstance(universe, DataFrame) and not stored:
         universe = settle(universe.select("ticker").distinct(), "universe")
     if universe is not None:
         headlines = for_universe(headlines, universe)

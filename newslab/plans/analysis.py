@@ -39,7 +39,8 @@ class Analysis:
 
     @cached_property
     def usable(self) -> DataFrame:
-        return self.queries.filter(F.col("reject_reason").isNull())
+        """Stored, because the search, the verdicts and the comparison all read them, and a model should score them once."""
+        return settle(self.queries.filter(F.col("reject_reason").isNull()), "queries")
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -65,7 +66,7 @@ class Analysis:
 def prices_from(prices: DataFrame, matches: DataFrame) -> DataFrame:
     """Prices of the matched tickers from their first matched day on: all that returns after matches can need. The
     bounds come from the stored matches, and reach the price scan as a runtime filter."""
-    first = matches.groupBy("ticker").agg(F.min("date").alias("_first")).filter(F.col("_first").isNotNull())
+    first = settle(matches.groupBy("ticker").agg(F.min("date").alias("_first")).filter(F.col("_first").isNotNull()), "first-days")
     return prices.join(first, "ticker").filter(F.col("date") >= F.col("_first")).drop("_first")
 
 

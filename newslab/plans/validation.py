@@ -13,10 +13,12 @@ from newslab.session import settle
 
 def threshold_sweep(headlines: DataFrame, prices: DataFrame, universe: DataFrame,
                     thresholds=C.THRESHOLDS, min_days: int = C.MIN_SENTIMENT_DAYS) -> DataFrame:
-    """Mean Sharpe ratio per split and threshold, the best of each split flagged, in one job."""
-    frame = V.universe_frames(headlines, prices, universe, min_days)
+    """Mean Sharpe ratio per split and threshold, the best of each split flagged. The split, a row per ticker, is
+    stored, and limits the frames to its tickers, too."""
+    split = settle(V.alternating_split(universe), "split")
+    frame = V.universe_frames(headlines, prices, split, min_days, stored=True)
     scores = V.variant_scores(frame, V.threshold_variants(thresholds))
-    return V.mark_best(V.mean_sharpe(scores, V.alternating_split(universe)))
+    return V.mark_best(V.mean_sharpe(scores, split))
 
 
 @dataclass(frozen=True)
@@ -39,13 +41,12 @@ def out_of_sample(headlines: DataFrame, prices: DataFrame, universe: DataFrame,
     Thresholds and components are scored in one job. The scores, a dozen rows per ticker, are
     stored once (``stored``) and every table of the report reads them.
     """
-    universe = settle(universe.select("ticker").distinct(), "universe")
-    frame = V.universe_frames(headlines, prices, universe, min_days)
+    split = settle(V.alternating_split(universe), "split")
+    frame = V.universe_frames(headlines, prices, split, min_days, stored=True)
     variants = V.threshold_variants(thresholds) + V.mode_variants()
     scores = V.variant_scores(frame, variants)
     if stored:
         scores = settle(scores)
-    split = V.alternating_split(universe)
     sweep = V.mean_sharpe(scores, split)
     best = V.best_threshold(sweep)
     components = V.decomposition(scores)

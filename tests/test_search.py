@@ -148,11 +148,11 @@ def test_semantic_search_is_exact(spark, vectors, monkeypatch, limit):
 
 def test_search_methods(spark, headlines, queries):
     def broken(_):
-        raise OSError("no model")
+        raise search.SemanticUnavailable("no model")
 
     auto = search.search(queries[1], headlines[1], "auto", corpus=headlines[1], embed=broken)
     assert by_query(auto) == by_query(search.search(queries[1], headlines[1], "lexical"))
-    with pytest.raises(OSError):
+    with pytest.raises(search.SemanticUnavailable):
         search.search(queries[1], headlines[1], "semantic", corpus=headlines[1], embed=broken)
     with pytest.raises(search.SemanticUnavailable):
         search.search(queries[1], headlines[1], "semantic")
