@@ -44,7 +44,7 @@ def by_slice(batches: Iterator[pa.RecordBatch],
             yield work(batch.slice(at, SLICE))
 
 
-def by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with up to ``most`` bytes of text (a longer text is alone)."""
     for batch in batches:
         _, ends = text_bytes(batch.column(column))
