@@ -325,6 +325,19 @@ def p2(t: Tables):
     return tidy(rows, "ticker", "headline", "dim", r="length")
 
 
+@query("p2_model_vectors", """
+    SELECT ticker, headline, round(a / n, 5) + 0.0 AS a, round(e / n, 5) + 0.0 AS e, round(o / n, 5) + 0.0 AS o FROM (
+      SELECT *, CASE WHEN a + e + o = 0 THEN 1 ELSE sqrt(a * a + e * e + o * o) END AS n FROM (
+        SELECT ticker, headline, length(headline) - length(replace(headline, 'a', '')) AS a,
+               length(headline) - length(replace(headline, 'e', '')) AS e,
+               length(headline) - length(replace(headline, 'o', '')) AS o FROM headline_index))""")
+def p2_model(t: Tables):
+    """The values of the unit vectors that a plugged-in model gives."""
+    rows = scoring.embed_text(t.index, _by_value(letter_model))
+    return rows.select("ticker", "headline", *[
+        (F.round(F.get("embedding", F.lit(i)).cast("double"), 5) + F.lit(0.0)).alias(c) for i, c in enumerate("aeo")])
+
+
 @query("p3_refresh_embeddings", f"SELECT ticker, headline, date, {r8('sentiment_score')} FROM headline_index")
 def p3(t: Tables):
     """A first refresh embeds every ticker, a second finds nothing stale."""

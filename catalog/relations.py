@@ -132,11 +132,12 @@ def a2(t: Tables):
 
 
 @query("a3_dedup_for_embedding", """
-    SELECT headline, min(date) AS date, round(avg(sentiment_score), 8) + 0.0 AS sentiment_score
-    FROM headlines_raw WHERE ticker = 'ECONOMY' GROUP BY headline""")
+    SELECT ticker, headline, min(date) AS date, round(avg(sentiment_score), 8) + 0.0 AS sentiment_score
+    FROM headlines_raw GROUP BY ticker, headline""")
 def a3(t: Tables):
-    found = dedup.dedup_index(t.raw.filter(F.col("ticker") == "ECONOMY"))
-    return tidy(found, "headline", "date", r8="sentiment_score")
+    """What an embedder is given: each ticker's headlines once, of all tickers."""
+    found = dedup.dedup_in_range(t.raw, None, None)
+    return tidy(found, "ticker", "headline", "date", r8="sentiment_score")
 
 
 @query("a4_daily_sentiment", f"SELECT ticker, date, {r8('daily_score')}, articles FROM daily")

@@ -108,17 +108,20 @@ def s9(t: Tables):
     return E.stale_tickers(revised, _stored_vectors(t), "given").select("ticker")
 
 
-@query("s10_missing_source", "SELECT ticker, headline, date, sentiment_score FROM headline_index WHERE ticker = 'NONE'")
+@query("s10_missing_source", """
+    SELECT ticker, count(m.headline) AS n_rows FROM (SELECT ticker FROM universe UNION ALL SELECT 'NONE') u
+    LEFT JOIN query_matches m USING (ticker) GROUP BY ticker""")
 def s10(t: Tables):
-    """An absent table is an error; an unknown ticker is an empty result with its columns."""
+    """An absent table is an error; an unknown ticker among known ones has no rows, and they keep theirs."""
     try:
         H.load_headlines(t.spark, t.scratch("absent"), t.scratch("absent"))
         raise AssertionError("an absent table must be reported")
     except FileNotFoundError:
         pass
-    return S.search_one(t.index, "NONE", "Red widget and blue widget").select(
-        "ticker", "headline", "date", "sentiment_score"
-    )
+    unknown = t.queries.select("query_id", F.lit("NONE").alias("ticker"), "headline")
+    found = S.lexical_search(t.index, t.queries.unionByName(unknown)).groupBy("ticker").agg(F.count("*").alias("n"))
+    asked = t.universe.unionByName(t.spark.range(1).select(F.lit("NONE").alias("ticker")))
+    return asked.join(found, "ticker", "left").select("ticker", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 # --- filters --------------------------------------------------------------------

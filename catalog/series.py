@@ -14,6 +14,7 @@ from newslab.operators import overlay as O
 from newslab.operators import search as S
 from newslab.operators import strategy as ST
 from newslab.operators import validate as V
+from newslab.session import settle
 from newslab.sources import headlines as H
 
 
@@ -120,16 +121,34 @@ def k3(t: Tables):
     return newest.newest_per_ticker(t.index, 700).select("ticker", "headline", "date")
 
 
+def _placed(ordered, *keys: str):
+    """The rows with ``in_order``: whether each comes after the row before it, in its partition or, for the first
+    one of a partition, after the last row of the partitions before. Equal keys pass."""
+    key = F.struct(*keys)
+    rows = settle(ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")),
+                  "placed")
+    inside = F.lag(key).over(Window.partitionBy("_part").orderBy("_at"))
+    ends = rows.groupBy("_part").agg(F.max(key).alias("_last"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_part", F.max("_last").over(earlier).alias("_before"))
+    return rows.withColumn("_previous", inside).join(F.broadcast(before), "_part").withColumn(
+        "in_order", F.coalesce(key >= F.coalesce("_previous", "_before"), F.lit(True))
+    ).drop("_part", "_at", "_previous", "_before")
+
+
 @query("k4_date_order", f"""
-    SELECT ticker, date, round(daily_score, 8) + 0.0 AS daily_score, articles FROM daily ORDER BY ticker, date""")
+    SELECT ticker, date, round(daily_score, 8) + 0.0 AS daily_score, articles, true AS in_order
+    FROM daily ORDER BY ticker, date""")
 def k4(t: Tables):
-    rows = D.daily_sentiment(t.raw).orderBy("ticker", "date")
-    return tidy(rows, "ticker", "date", "articles", r8="daily_score")
+    rows = _placed(D.daily_sentiment(t.raw).orderBy("ticker", "date"), "ticker", "date")
+    return tidy(rows, "ticker", "date", "articles", "in_order", r8="daily_score")
 
 
-@query("k5_ticker_order", "SELECT ticker, headline, date FROM headline_index")
+@query("k5_ticker_order", "SELECT ticker, headline, date, true AS in_order FROM headline_index")
 def k5(t: Tables):
-    return H.cluster_by_ticker(t.index).select("ticker", "headline", "date")
+    """Rows are in order within a range, and no range begins before the end of an earlier one."""
+    rows = _placed(H.cluster_by_ticker(t.index), "ticker", "date", "headline")
+    return rows.select("ticker", "headline", "date", "in_order")
 
 
 @query("k6_highest_row", f"SELECT split, threshold FROM best")
@@ -164,16 +183,13 @@ def u2(t: Tables):
 
 
 @query("u3_disjoint_split", """
-    SELECT count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'test') AS test,
-           0::BIGINT AS both FROM split""")
+    SELECT ticker, (split = 'train')::INT::BIGINT AS in_train, (split = 'test')::INT::BIGINT AS in_test FROM split""")
 def u3(t: Tables):
+    """How often each ticker of the universe stands on each side."""
     split = V.alternating_split(t.universe)
-    sides = split.groupBy("ticker").agg(F.countDistinct("split").alias("sides"), F.max("split").alias("split"))
-    return sides.agg(
-        F.count(F.when(F.col("split") == "train", 1)).alias("train"),
-        F.count(F.when(F.col("split") == "test", 1)).alias("test"),
-        F.count(F.when(F.col("sides") > 1, 1)).alias("both"),
-    )
+    sides = split.groupBy("ticker").pivot("split", ["train", "test"]).count()
+    return t.universe.join(sides, "ticker", "left").select(
+        "ticker", F.coalesce("train", F.lit(0)).alias("in_train"), F.coalesce("test", F.lit(0)).alias("in_test"))
 
 
 # --- scalar functions --------------------------------------------------------------------
@@ -223,15 +239,16 @@ def x5(t: Tables):
 
 
 @query("x6_cosine", f"""
-    SELECT query_id, round(list_dot_product(v, p), 6) + 0.0 AS similarity FROM (
-      SELECT query_id, v, first_value(v) OVER (PARTITION BY ticker ORDER BY query_id) AS p FROM vectors)""")
+    SELECT query_id AS vec_id, first_id, round(list_dot_product(v, p), 6) + 0.0 AS similarity FROM (
+      SELECT query_id, v, first_value(v) OVER w AS p, first_value(query_id) OVER w AS first_id FROM vectors
+      WINDOW w AS (PARTITION BY ticker ORDER BY query_id))""")
 def x6(t: Tables):
-    """Each vector with its ticker's first one."""
-    first = t.vectors.groupBy("ticker").agg(F.min_by("embedding", "query_id").alias("first"))
-    rows = t.vectors.join(first, "ticker").withColumn(
-        "similarity", vectors.cosine_of_units(F.col("embedding"), F.col("first"))
-    )
-    return tidy(rows, "query_id", r="similarity")
+    """Each vector with its ticker's first one, as the search works it out."""
+    first = t.vectors.groupBy("ticker").agg(
+        F.min("query_id").alias("query_id"), F.min_by("embedding", "query_id").alias("embedding"))
+    pairs = S.similar_pairs(t.vectors, first, top_n=None, min_similarity=-2.0)
+    vec_id = F.substring_index("headline", " ", -1).cast("long").alias("vec_id")
+    return tidy(pairs.select(vec_id, F.col("query_id").alias("first_id"), "similarity"), "vec_id", "first_id", r="similarity")
 
 
 @query("x7_unit_vectors", """

@@ -23,7 +23,3 @@ def unit(a: Column) -> Column:
         return F.transform(a, lambda x: x.cast("double") / divisor)
 
     return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
-
-
-def cosine_of_units(a: Column, b: Column) -> Column:
-    return dot(a, b)

@@ -24,54 +24,46 @@ def _cut(groups: DataFrame, order: Column, need: Column) -> DataFrame:
     )
 
 
-def _slice_of(headline: Column) -> Column:
-    return F.substring(F.md5(headline), 1, _SLICE)
-
-
 def newest_per_ticker(headlines: DataFrame, cap: int) -> DataFrame:
     """Rows by date descending, equal dates by the md5 of the headline, first ``cap``.
     Headlines must be deduplicated.
 
-    Only tickers above the cap need a cut. Their counts per day, added up from the newest,
-    give the day on which the limit falls; counts of that day's md5 slices give the slice. Both
-    are one row per ticker and are stored, so the headlines meet them in a join that moves no
-    headline while the cuts are small. Only rows of the one slice on the limit are ranked.
+    The input is read twice. The first read stores what the order depends on, without the texts: ticker, day and
+    md5. All counting is done there. Counts per day, added up from the newest, give the day on which a
+    crowded ticker's limit falls; counts of that day's md5 slices give the slice, and only its rows are
+    ranked, for the last md5 that stays. These limits are one row per crowded ticker, and the second read of the
+    headlines is a filter by them that moves no headline while they are small.
     """
-    # headlines without a date come after all others
-    rows = headlines.withColumn("_day", F.coalesce("date", F.lit("0001-01-01").cast("date")))
-    per_day = rows.groupBy("ticker", "_day").agg(F.count("*").alias("_n"))
+    # headlines without a date come after all others, one without a text before all of its day
+    day = F.coalesce("date", F.lit("0001-01-01").cast("date"))
+    code = F.coalesce(F.unhex(F.md5("headline")), F.lit(b""))
+    rows = headlines.withColumns({"_day": day, "_code": code})
+    keys = settle(rows.select("ticker", "_day", "_code"), "order-keys")
+
+    per_day = keys.groupBy("ticker", "_day").agg(F.count("*").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy("ticker"))
     crowded = per_day.withColumn("_total", total).filter(F.col("_total") > cap)
     day_cuts = settle(
-        _cut(crowded, F.col("_day").desc(), F.lit(cap)).select(
-            "ticker", F.col("_day").alias("_cut_date"), F.col("_want").alias("_need")
-        ),
+        _cut(crowded, F.col("_day").desc(), F.lit(cap)).select("ticker", "_day", F.col("_want").alias("_need")),
         "day-cuts",
     )
-    on_day = rows.join(day_cuts, "ticker").filter(F.col("_day") == F.col("_cut_date"))
-    slices = on_day.groupBy(
-        "ticker", "_cut_date", "_need", _slice_of(F.col("headline")).alias("_cut_slice")
-    ).agg(F.count("*").alias("_n"))
-    cuts = settle(
-        _cut(slices, F.col("_cut_slice").asc(), F.col("_need")).select(
-            "ticker", "_cut_date", "_cut_slice", "_want"
-        ),
-        "slice-cuts",
-    )
-
-    marked = rows.join(cuts, "ticker", "left").withColumn(
-        "_slice", F.when(F.col("_day") == F.col("_cut_date"), _slice_of(F.col("headline")))
-    )
-    inside = marked.filter(
-        F.col("_cut_date").isNull()
-        | (F.col("_day") > F.col("_cut_date"))
-        | (F.col("_slice") < F.col("_cut_slice"))
+    on_day = keys.join(day_cuts, ["ticker", "_day"]).withColumn(
+        "_slice", F.substring(F.hex("_code"), 1, _SLICE)
     )
-    order = Window.partitionBy("ticker").orderBy(F.md5("headline"), "headline")
-    on_limit = (
-        marked.filter(F.col("_slice") == F.col("_cut_slice"))
+    slices = on_day.groupBy("ticker", "_day", "_need", "_slice").agg(F.count("*").alias("_n"))
+    slice_cuts = _cut(slices, F.col("_slice").asc(), F.col("_need")).select("ticker", "_slice", "_want")
+    order = Window.partitionBy("ticker").orderBy("_code")
+    limits = settle(
+        on_day.join(slice_cuts, ["ticker", "_slice"])
         .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= F.col("_want"))
+        .filter(F.col("_rank") == F.col("_want"))
+        .select("ticker", F.col("_day").alias("_last_day"), F.col("_code").alias("_last_code")),
+        "limits",
+    )
+
+    stays = (
+        F.col("_last_day").isNull()
+        | (F.col("_day") > F.col("_last_day"))
+        | ((F.col("_day") == F.col("_last_day")) & (F.col("_code") <= F.col("_last_code")))
     )
-    columns = headlines.columns
-    return inside.select(*columns).unionByName(on_limit.select(*columns))
+    return rows.join(limits, "ticker", "left").filter(stays).select(*headlines.columns)

@@ -102,6 +102,32 @@ def test_newest_keeps_headlines_without_a_date(spark):
     assert len(found) == 4 and {r["headline"] for r in found} >= {"h0", "h1", "h2"}
 
 
+def test_newest_keeps_a_headline_without_text_on_the_last_day(spark):
+    rows = [("A", None, START, 0.0), ("A", "x", START, 0.0), ("A", "y", START, 0.0), ("B", None, None, 0.0)]
+    df = spark.createDataFrame(rows, "ticker string, headline string, date date, sentiment_score double")
+    found = newest.newest_per_ticker(df, 2).collect()
+    assert sorted(r["ticker"] for r in found) == ["A", "A", "B"] and sum(r["headline"] is None for r in found) == 2
+
+
+def test_newest_reads_its_input_twice(spark, tmp_path, monkeypatch):
+    """Once to store the order keys, once in the plan that is returned; all else reads stored keys."""
+    path, plans = str(tmp_path / "headlines"), []
+    spark.range(500).select(
+        F.lit("A").alias("ticker"), F.concat(F.lit("h"), "id").alias("headline"), F.lit(START).alias("date")
+    ).write.parquet(path)
+    store = newest.settle
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(newest, "settle", watched)
+    found = newest.newest_per_ticker(spark.read.parquet(path), 100)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert [p.count("headline#") > 0 for p in plans] == [True, False, False, True]
+    assert plans[-1].count("Relation") == 2 and found.count() == 100
+
+
 def test_newest_on_a_single_day(headlines):
     same_day = headlines[1].withColumn("date", F.lit(START))
     counts = newest.newest_per_ticker(same_day, 100).groupBy("ticker").count().collect()
