@@ -14,10 +14,12 @@ from newslab.operators import overlay as O
 from newslab.operators import scoring
 from newslab.operators import search as S
 from newslab.operators import strategy as ST
+from newslab.operators import text_network
 from newslab.operators import validate as V
 from newslab.plans import analysis as A
 from newslab.plans.dashboard import dashboard
 from newslab.plans.index import build_index
+from newslab.plans.semantic import search_with_refresh
 from newslab.plans.validation import out_of_sample, threshold_sweep
 from newslab.sources import embeddings as E
 
@@ -62,6 +64,41 @@ def c5(t: Tables):
     return vectors.select(*columns).unionByName(words.select(*columns))
 
 
+def remainder_model():
+    """A stand-in embedder of texts that end in a number: its remainders, as a vector."""
+    def vectors(texts):
+        numbers = [int(x.rsplit(" ", 1)[-1]) for x in texts]
+        return [[n % 7 + 1, n % 11 + 1, n % 13 + 1, n % 17 + 1] for n in numbers]
+
+    return vectors
+
+
+@query("c5_search_with_refresh", """
+    WITH raw AS (
+      SELECT vec_id, label::VARCHAR AS ticker, 'vec ' || vec_id AS headline,
+             DATE '2000-01-01' + (vec_id % 365)::INT AS date,
+             [vec_id % 7 + 1, vec_id % 11 + 1, vec_id % 13 + 1, vec_id % 17 + 1]::DOUBLE[] AS w FROM embeddings),
+    units AS (
+      SELECT *, list_transform(w, lambda x: (x / sqrt(list_dot_product(w, w)))::FLOAT::DOUBLE) AS u FROM raw),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.ticker, c.headline, c.date, round(list_dot_product(c.u, q.u), 12) AS similarity
+      FROM units c JOIN units q USING (ticker))
+    SELECT 'semantic' AS method, query_id, ticker, rank, headline FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id, ticker ORDER BY similarity DESC, date DESC, headline) AS rank
+      FROM scored WHERE similarity >= 0.9) WHERE rank <= 5""")
+def c5_refresh(t: Tables):
+    """One ticker is asked for first and is the only one embedded; the others follow when they are asked for."""
+    path, loader = t.scratch("vectors"), _by_value(remainder_model)
+    rows = t.vectors.select("ticker", "headline", "date", "sentiment_score")
+    asked = t.vectors.select("query_id", "ticker", "headline")
+    bounds = {"top_n": 5, "min_similarity": 0.9}
+    first = asked.join(asked.agg(F.min("ticker").alias("ticker")), "ticker")
+    search_with_refresh(first, rows, path, "remainders", loader, **bounds)
+    assert E.read_embeddings(t.spark, path, "remainders").select("ticker").distinct().count() == 1
+    found = search_with_refresh(asked, rows, path, "remainders", loader, **bounds)
+    return found.select("method", "query_id", "ticker", "rank", "headline")
+
+
 @query("c6_forward_returns", f"SELECT ticker, date, base_date, {r(RETS)} FROM fwd")
 def c6(t: Tables):
     return tidy(all_returns(t), "ticker", "date", "base_date", r=RETS)
@@ -271,6 +308,17 @@ def p1(t: Tables):
     return tidy(scored, "doc_id", r="score")
 
 
+def _label_sides(t: Tables, scored):
+    known = scored.select("doc_id", "live_score").join(
+        t.read("labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    means = known.groupBy("label").agg(F.avg("live_score").alias("mean")).filter(F.col("label").isNotNull())
+    return known.join(means, "label", "left").select(
+        "doc_id", F.col("live_score").between(-1, 1).alias("inside"),
+        F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label"),
+        F.coalesce((F.col("mean") > 0) == (F.col("label") == 1), F.lit(True)).alias("apart"),
+    )
+
+
 @query("p1_trained_scorer", """
     SELECT doc_id, true AS inside, coalesce(quality, -1)::BIGINT AS label, true AS apart
     FROM documents LEFT JOIN labels USING (doc_id)""")
@@ -281,14 +329,17 @@ def p1_trained(t: Tables):
         "text", F.col("quality").alias("label")
     )
     scorer = scoring.fit_scorer(labelled)
-    scores = scoring.score_with(scorer, t.documents.select("doc_id", "text")).select("doc_id", "live_score")
-    known = scores.join(t.read("labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
-    means = known.groupBy("label").agg(F.avg("live_score").alias("mean")).filter(F.col("label").isNotNull())
-    return known.join(means, "label", "left").select(
-        "doc_id", F.col("live_score").between(-1, 1).alias("inside"),
-        F.coalesce(F.col("label"), F.lit(-1)).cast("long").alias("label"),
-        F.coalesce((F.col("mean") > 0) == (F.col("label") == 1), F.lit(True)).alias("apart"),
-    )
+    return _label_sides(t, scoring.score_with(scorer, t.documents.select("doc_id", "text")))
+
+
+@query("p1_network_scores", """
+    SELECT doc_id, true AS inside, coalesce(quality, -1)::BIGINT AS label, true AS apart
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def p1_network(t: Tables):
+    """As above, by the network."""
+    labelled = t.documents.join(t.read("labels"), "doc_id").select("text", F.col("quality").alias("label"))
+    network = text_network.fit_network(labelled)
+    return _label_sides(t, text_network.score_with_network(network, t.documents.select("doc_id", "text"), "text"))
 
 
 def letter_model():
