@@ -30,10 +30,21 @@ def query(name: str, sql: str | None = None):
 
 
 @query("op1_perspective_rotation", """
-    WITH said AS (
-        SELECT DISTINCT conv_id, turn, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS part,
+    WITH rows AS (
+        SELECT conv_id, turn, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS part,
                coalesce(nullif(role, ''), 'unknown') AS name, replace(coalesce(text, ''), '<|', '< |') AS body
         FROM conversations WHERE conv_id IS NOT NULL),
+    counted AS (
+        SELECT conv_id, part, turn, count(*) AS n, sum(count(*)) OVER (PARTITION BY conv_id, part) AS total,
+               coalesce(sum(count(*)) OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM rows GROUP BY conv_id, part, turn),
+    said AS (
+        SELECT DISTINCT r.*, CASE WHEN total > 4096 THEN CAST(before // 4096 AS BIGINT) ELSE 0 END AS section,
+               CASE WHEN total > 4096 THEN CAST('0x' || substr(md5(name || ':' || body), 1, 8) AS BIGINT)
+                    % CAST(ceil(n / 4096) AS BIGINT) ELSE 0 END AS slice
+        FROM rows AS r JOIN counted AS c
+        ON r.conv_id = c.conv_id AND r.part = c.part AND r.turn IS NOT DISTINCT FROM c.turn),
     people AS (SELECT DISTINCT conv_id, name AS perspective FROM said WHERE name <> 'system'),
     views AS (
         SELECT said.*, perspective, name = perspective AS mine,
@@ -44,19 +55,19 @@ def query(name: str, sql: str | None = None):
     lines AS (
         SELECT *, head || body || '<|end|>' || chr(10) AS line,
                sum(length(head) + length(body) + 8) OVER (
-                   PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, name, body
+                   PARTITION BY conv_id, perspective, part, section, slice ORDER BY turn NULLS FIRST, name, body
                    ROWS UNBOUNDED PRECEDING) - length(body) - 8 AS start
         FROM views)
-    SELECT conv_id, perspective, part,
+    SELECT conv_id, perspective, part, section, slice,
            string_agg(line, '' ORDER BY turn NULLS FIRST, name, body) AS rendered, count(*) AS n_turns,
            coalesce(string_agg(CASE WHEN mine THEN start || '-' || (start + length(body) + 7) END, ','
                                ORDER BY turn NULLS FIRST, name, body), '') AS mask,
            CAST(sum(CASE WHEN mine THEN length(body) + 7 ELSE 0 END) AS BIGINT) AS n_learnt
-    FROM lines GROUP BY conv_id, perspective, part""")
+    FROM lines GROUP BY conv_id, perspective, part, section, slice""")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     views = chat.rotate_perspectives(spark.read.parquet(f"{folder}/conversations.parquet"))
     span = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["stop"].cast("string")))
-    return views.select("conv_id", "perspective", "part", "rendered", F.col("n_turns").cast("long").alias("n_turns"),
+    return views.select("conv_id", "perspective", "part", "section", "slice", "rendered", F.col("n_turns").cast("long").alias("n_turns"),
                         F.array_join(span, ",").alias("mask"), F.col("n_learnt").cast("long").alias("n_learnt"))
 
 

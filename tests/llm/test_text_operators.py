@@ -5,15 +5,18 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from newslab.llm import bpe, chat, language, memo, packing, quality, repeats, simhash, token_files
+from newslab.llm import bpe, chat, language, memo, packing, quality, queries, repeats, simhash, token_files
 from newslab.session import new_table_path
+from tests.check_catalog import difference
 
 SCHEMA = "doc_id long, text string, lang string, row string, fp string, score string, h1 string, v string"
 random.seed(5)
@@ -82,6 +85,39 @@ def test_rotation_gives_each_speaker_a_view(spark):
     assert got[3, "cy"].part == 1
 
 
+def test_rotation_cuts_parts_with_very_many_rows(spark):
+    """200,000 rows without a turn number, and some turns before and after it, come in bounded rows that make up the dialogue."""
+    hot = spark.range(200_000).select(F.lit(1).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"),
+                                      F.when(F.col("id") % 2 == 0, "ann").otherwise("bob").alias("role"),
+                                      F.concat(F.lit("t"), "id").alias("text"))
+    later = spark.createDataFrame([(1, i, "ann", "late") for i in range(300)] + [(2, 0, "ann", "x"), (2, 0, "bob", "y")],
+                                  "conv_id long, turn long, role string, text string")
+    got = chat.rotate_perspectives(hot.unionByName(later))
+    ann = got.where("conv_id = 1 and perspective = 'ann'").orderBy("part", "section", "slice").collect()
+    assert len({(r.part, r.section, r.slice) for r in ann}) == len(ann) > 40
+    assert max(r.n_turns for r in ann) < 2 * chat.PART_ROWS and sum(r.n_turns for r in ann) == 200_300
+    first, late = [r for r in ann if r.section == 0 and r.part == 0], [r for r in ann if r.part or r.section]
+    lines = [x for r in first for x in re.findall(r"t([0-9]+)<", r.rendered)]
+    assert sorted(map(int, lines)) == list(range(200_000))
+    assert "".join(r.rendered for r in late).count("late") == 300 and late[-1].part == 1
+    assert all(r.rendered[m.start:m.stop].endswith("<|end|>") for r in ann[:2] for m in r.mask[:5])
+    assert {(r.section, r.slice) for r in got.where("conv_id = 2").collect()} == {(0, 0)}
+    small = chat.rotate_perspectives(later, part_rows=7).where("conv_id = 1").orderBy("part", "section").collect()
+    assert [r.n_turns for r in small] == [7] * 36 + [4] + [7] * 6 + [2]
+
+
+def test_rotation_of_crowded_parts_equals_the_sql(spark, tmp_path):
+    rows = spark.range(30_000).select(
+        (F.col("id") % 3).alias("conv_id"), F.when(F.col("id") % 3 == 0, F.col("id") % 50).when(F.col("id") % 7 < 6, 5).alias("turn"),
+        F.when(F.col("id") % 2 == 0, "ann").otherwise("").alias("role"), F.concat(F.lit("t"), F.col("id") % 9000).alias("text"))
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = queries.QUERIES["op1_perspective_rotation"](spark, str(tmp_path)).toPandas()
+    assert got.slice.max() > 0 and got.section.max() > 0
+    assert difference(got, con.execute(queries.ORACLES["op1_perspective_rotation"]).df()) is None
+
+
 def plain_fingerprint(text, n=3):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not words:
