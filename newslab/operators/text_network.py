@@ -22,8 +22,8 @@ BUCKETS = 1 << 14
 WIDTH = 16
 #: The training sample: at most so many texts, none of more than so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 2000, 20_000
-#: Passes over the sample, texts per step, step size.
-EPOCHS, STEP_TEXTS, RATE = 4, 32, 0.01
+#: Passes over the sample, texts per step, step size; a small sample is passed over until so many steps are made.
+EPOCHS, STEP_TEXTS, RATE, LEAST_STEPS = 4, 32, 0.01, 100
 
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -63,7 +63,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> Network:
                np.zeros(WIDTH), rng.normal(0, WIDTH ** -0.5, (WIDTH, 2))]
     first, second = ([np.zeros_like(w) for w in weights] for _ in range(2))
     bags, wanted, step = [piece_shares(t) for t in texts], np.eye(2)[1 - np.asarray(labels, int)], 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * STEP_TEXTS // len(bags)))):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), STEP_TEXTS):
             some, step = order[at:at + STEP_TEXTS], step + 1
