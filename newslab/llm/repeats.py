@@ -19,6 +19,8 @@ REACH = 200
 #: Contexts of one suffix class that are compared at once in a task (some 200 MB with what is worked out
 #: from them); a larger class goes by its windows.
 CLASS_ROWS = 8000
+#: Bytes of text whose suffixes are sampled at once (some 70 bytes of arrays for each).
+SAMPLED_BYTES = 1 << 20
 
 _MIX, _B1, _B2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _BYTE = np.random.default_rng(17).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -65,7 +67,7 @@ def suffixes(data: np.ndarray, bounds: np.ndarray, length: int, reach: int):
     return row[new], place[new], window[new], window[last]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: int, work, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, work, most: int) -> Iterator[pa.RecordBatch]:
     """Work on runs of rows with up to ``most`` bytes of text (a longer text is alone)."""
     for batch in batches:
         lengths = np.diff(text_bytes(batch.column(column))[1])
@@ -99,7 +101,7 @@ def _sampled(length: int, reach: int):
              pa.array(high.astype(np.int16)), pa.array(low.astype(np.int16)),
              *(pa.array(x.view(np.int64)) for x in ranks)], names)
 
-    return lambda batches: by_bytes(batches, 2, one)
+    return lambda batches: by_bytes(batches, 2, one, SAMPLED_BYTES)
 
 
 def _contexts(length: int):
