@@ -80,22 +80,20 @@ def mode_variants(modes=MODES) -> list[Variant]:
 
 
 def _signal_inputs() -> Column:
+    sentiment = F.col("smooth_sentiment")
     return F.struct(
-        F.col("smooth_sentiment").alias("sentiment"),
-        uptrend().alias("up"),
+        sentiment.alias("sentiment"), uptrend().alias("up"),
+        F.when(uptrend(), sentiment).alias("gated"),
         sizing_weight(F.col("volatility_20d")).alias("weight"),
     )
 
 
 def _position(inputs: str, variant: Variant) -> Column:
     """Position taken from one day's inputs; 0 before the first day."""
-    state = F.col(inputs)
-    held = state.isNotNull()
+    held = f"{inputs}.up"
     if variant.uses_sentiment:
-        held &= state["sentiment"] > variant.threshold
-    if variant.uses_trend:
-        held &= state["up"]
-    return F.when(held, state["weight"]).otherwise(0.0)  # an unknown condition is none
+        held = f"{inputs}.{'gated' if variant.uses_trend else 'sentiment'} > {variant.threshold!r}D"
+    return F.expr(f"CASE WHEN {held} THEN {inputs}.weight ELSE 0.0D END")  # an unknown condition is none
 
 
 def _variant_return(variant: Variant) -> Column:
