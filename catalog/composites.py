@@ -21,6 +21,7 @@ from newslab.plans.dashboard import dashboard
 from newslab.plans.index import build_index
 from newslab.plans.semantic import search_with_refresh
 from newslab.plans.validation import out_of_sample, threshold_sweep
+from newslab.session import settle
 from newslab.sources import embeddings as E
 
 MATCH = "query_id, ticker, rank, headline, date"
@@ -391,9 +392,10 @@ def p2_model(t: Tables):
 
 @query("p3_refresh_embeddings", f"SELECT ticker, headline, date, {r8('sentiment_score')} FROM headline_index")
 def p3(t: Tables):
-    """A first refresh embeds every ticker, a second finds nothing stale."""
+    """A first refresh embeds every ticker, a second finds nothing stale. The index is stored first: each
+    step reads it, and none joins the raw tables again."""
     path = t.scratch("vectors")
-    index = t.index
+    index = settle(t.index, "index")
     E.refresh_embeddings(index, path, "words")
     assert E.stale_tickers(index, path, "words").isEmpty()
     return tidy(E.refresh_embeddings(index, path, "words"), "ticker", "headline", "date",

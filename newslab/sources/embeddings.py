@@ -26,12 +26,15 @@ def source_versions(headlines: DataFrame) -> DataFrame:
     )
 
 
-def write_embeddings(rows: DataFrame, path: str) -> None:
-    """One folder per model and ticker; written tickers replace their older rows. Ranges are
-    cut on date and headline too, so a large ticker is written by many tasks."""
+def _spread(rows: DataFrame) -> DataFrame:
+    """Ranges are cut on date and headline too, so a large ticker is written by many tasks."""
+    return rows.repartitionByRange("ticker", "date", "headline")
+
+
+def _store(rows: DataFrame, path: str) -> None:
+    """One folder per model and ticker; written tickers replace their older rows."""
     (
-        rows.repartitionByRange("ticker", "date", "headline")
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy("model", "ticker")
@@ -39,6 +42,10 @@ def write_embeddings(rows: DataFrame, path: str) -> None:
     )
 
 
+def write_embeddings(rows: DataFrame, path: str) -> None:
+    _store(_spread(rows), path)
+
+
 def read_embeddings(spark: SparkSession, path: str, model: str) -> DataFrame:
     schema = ("headline string, date date, sentiment_score double, embedding array<float>, "
               "source_version string, model string, ticker string")
@@ -47,8 +54,11 @@ def read_embeddings(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 def stale_tickers(headlines: DataFrame, path: str, model: str) -> DataFrame:
     """Tickers without stored vectors of this model and of the present source rows."""
-    versions = source_versions(headlines)
-    spark = headlines.sparkSession
+    return _not_stored(source_versions(headlines), path, model)
+
+
+def _not_stored(versions: DataFrame, path: str, model: str) -> DataFrame:
+    spark = versions.sparkSession
     if not exists(spark, path):
         return versions
     stored = read_embeddings(spark, path, model).select("ticker", "source_version").distinct()
@@ -59,12 +69,21 @@ def refresh_embeddings(headlines: DataFrame, path: str, model: str,
                        loader: Callable | None = None, cap: int | None = None) -> DataFrame:
     """Embed the rows of stale tickers (all, or the newest ``cap`` of each), store them, and return
     what is stored of the tickers that the source still has. If the model fails, nothing is stored
-    and the tickers stay stale; rows without a vector (no headline) are not stored."""
-    stale = settle(stale_tickers(headlines, path, model), "stale")
-    rows = headlines.join(stale, "ticker")
-    if cap is not None:
-        rows = newest_per_ticker(rows, cap)
-    embedded = embed_text(rows, loader).filter(F.col("embedding").isNotNull()).withColumn("model", F.lit(model))
-    write_embeddings(embedded, path)
-    present = headlines.select("ticker").distinct()
-    return read_embeddings(headlines.sparkSession, path, model).join(present, "ticker", "left_semi")
+    and the tickers stay stale; rows without a vector (no headline) are not stored.
+
+    The source is read for its versions, and again only if a ticker is stale. Rows are moved and sorted for
+    the write before they get their vectors, so no vector is shuffled, sorted or spilled, or made a second time for
+    the sample that cuts the ranges."""
+    spark = headlines.sparkSession
+    versions = settle(source_versions(headlines), "versions")
+    stale = settle(_not_stored(versions, path, model), "stale")
+    if not exists(spark, path) or not stale.isEmpty():
+        rows = headlines.join(stale, "ticker")
+        if cap is not None:
+            rows = newest_per_ticker(rows, cap)
+        if loader is not None:
+            rows = rows.filter(F.col("headline").isNotNull())  # a model gives the others no vector
+        # The writer takes this order as its own only for a ticker without nulls; the join has dropped them.
+        rows = rows.withColumn("ticker", F.coalesce(F.col("ticker").cast("string"), F.lit(""))).withColumn("model", F.lit(model))
+        _store(embed_text(_spread(rows).sortWithinPartitions("ticker"), loader), path)
+    return read_embeddings(spark, path, model).join(versions.select("ticker"), "ticker", "left_semi")
