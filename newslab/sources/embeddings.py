@@ -76,14 +76,15 @@ def refresh_embeddings(headlines: DataFrame, path: str, model: str,
     the sample that cuts the ranges."""
     spark = headlines.sparkSession
     versions = settle(source_versions(headlines), "versions")
-    stale = settle(_not_stored(versions, path, model), "stale")
+    # Rows without a ticker are not stored, so they are stale for ever, and no reason to read on.
+    stale = settle(_not_stored(versions, path, model).filter(F.col("ticker").isNotNull()), "stale")
     if not exists(spark, path) or not stale.isEmpty():
         rows = headlines.join(stale, "ticker")
         if cap is not None:
             rows = newest_per_ticker(rows, cap)
         if loader is not None:
             rows = rows.filter(F.col("headline").isNotNull())  # a model gives the others no vector
-        # The writer takes this order as its own only for a ticker without nulls; the join has dropped them.
+        # The writer takes this order as its own only for a column without nulls; none are left.
         rows = rows.withColumn("ticker", F.coalesce(F.col("ticker").cast("string"), F.lit(""))).withColumn("model", F.lit(model))
         _store(embed_text(_spread(rows).sortWithinPartitions("ticker"), loader), path)
     return read_embeddings(spark, path, model).join(versions.select("ticker"), "ticker", "left_semi")
